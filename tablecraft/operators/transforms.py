@@ -85,9 +85,15 @@ class ImputeState:
     fill: dict[str, object]
     dropped: list[str]
 
+    as_double: bool = False
+
     def apply(self, df: DataFrame) -> DataFrame:
-        exprs = {c: F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType))
-                 for c, v in self.fill.items() if c in df.columns}
+        if self.as_double:  # numeric imputation outputs floats
+            exprs = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(v)))
+                     for c, v in self.fill.items() if c in df.columns}
+        else:
+            exprs = {c: F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType))
+                     for c, v in self.fill.items() if c in df.columns}
         return _replace(df, exprs, drop=[c for c in self.dropped if c in df.columns])
 
 
@@ -100,7 +106,7 @@ class ImputeMedian:
         med = stats.medians(df, cols)
         fill = {c: float(v) for c, v in med.items() if v is not None}
         # a column with no observed value is dropped, as the reference's imputer does
-        return ImputeState(fill, [c for c, v in med.items() if v is None])
+        return ImputeState(fill, [c for c, v in med.items() if v is None], as_double=True)
 
 
 @dataclass
@@ -166,6 +172,14 @@ class OneHotState:
                              state_rows=self.n_codes).drop(f"_k_{c}")
         return out
 
+    def apply_long(self, df: DataFrame, key: Sequence[str]) -> DataFrame:
+        """(key..., column, slot) for every non-zero indicator: one unpivot and
+        one join for all columns (an unseen or null value yields no row)."""
+        u = stats.unpivot_categories(df, list(self.categories), extra=list(key))
+        return join_small(u, self.codes.select("column", "value", "slot"), ["column", "value"],
+                          how="inner", state_rows=self.n_codes * max(1, len(self.categories))) \
+            .select(*key, "column", "slot")
+
     def apply(self, df: DataFrame, keep: bool = False) -> DataFrame:
         """Wide 0/1 indicator columns ``<c>_<category>``; input column dropped."""
         coded = self.apply_codes(df)
@@ -221,12 +235,14 @@ class OneHot:
             if rows else spark.createDataFrame([], "column string, value string, code int")
         infreq_code = {c: len(v) - 1 - (1 if first_dropped[c] else 0) for c, v in cats.items()}
         codes = (flagged.join(F.broadcast(vocab_df), ["column", "value"], "left")
-                 .select("column", "value",
+                 .select("column", "value", "frequent",
                          F.when(F.col("frequent"), F.col("code"))
                           .otherwise(F.element_at(F.create_map(*[x for c, k in infreq_code.items()
                                                                  for x in (F.lit(c), F.lit(k))]),
                                                   F.col("column"))).alias("code")))
-        codes = codes.where(F.col("code") >= 0)
+        codes = (codes.where(F.col("code") >= 0)
+                 .withColumn("slot", F.when(F.col("frequent"), F.col("value"))
+                             .otherwise(F.lit(INFREQUENT))))
         out_cats = {c: (v[1:] if first_dropped[c] else v) for c, v in cats.items()}
         return OneHotState(codes, out_cats, n_codes)
 
