@@ -29,6 +29,19 @@ def per_class_f1(df: DataFrame, y: str = "label", yhat: str = "prediction") -> D
                                      (F.col("support") + F.col("predicted"))).otherwise(0.0))
 
 
+def per_class_f1_grouped(df: DataFrame, y: str, yhat: str, groups: list[str]) -> DataFrame:
+    """per_class_f1 within each group (e.g. per fold), in one pass."""
+    g = [F.col(c) for c in groups]
+    cm = df.groupBy(*g, F.col(y).alias("y"), F.col(yhat).alias("yhat")).agg(F.count(F.lit(1)).alias("n"))
+    sup = cm.groupBy(*groups, F.col("y").alias("class")).agg(F.sum("n").alias("support"))
+    pred = cm.groupBy(*groups, F.col("yhat").alias("class")).agg(F.sum("n").alias("predicted"))
+    tp = cm.where(F.col("y") == F.col("yhat")).select(*groups, F.col("y").alias("class"), F.col("n").alias("tp"))
+    t = (sup.join(pred, [*groups, "class"], "full").join(tp, [*groups, "class"], "left")
+         .na.fill(0, ["support", "predicted", "tp"]))
+    return t.withColumn("f1", F.when(F.col("tp") > 0, 2.0 * F.col("tp") /
+                                     (F.col("support") + F.col("predicted"))).otherwise(0.0))
+
+
 def f1_weighted_df(df: DataFrame, y: str = "label", yhat: str = "prediction") -> DataFrame:
     """One row: ``f1_weighted`` = sum_c support_c / N * F1_c."""
     t = per_class_f1(df, y, yhat)
