@@ -53,29 +53,37 @@ def hash_int_sql(key_sql: str) -> str:
     return f"CAST(('0x' || substr({key_sql}, 1, 15)) AS BIGINT)"
 
 
-def _digits_for(n: int) -> int:
+def _digits_for(n: int | None) -> int:
+    """Hash-prefix digits: the offset table has at most min(n, groups*16**d)
+    rows, so the maximum is cheap on small inputs and bounds each (group,
+    bucket) window to n / 65536 rows on large ones."""
+    if n is None:
+        return MAX_DIGITS
     if n <= ROWS_PER_BUCKET:
         return 1
     return max(1, min(MAX_DIGITS, math.ceil(math.log(n / ROWS_PER_BUCKET, 16))))
 
 
 def exact_rank(df: DataFrame, part: Sequence[str], key: str, rank_col: str = "rank",
-               n_rows: int | None = None) -> DataFrame:
+               n_rows: int | None = None, size_col: str | None = None) -> DataFrame:
     """1-based rank of ``key`` (distinct hex strings) within ``part`` groups.
 
-    Equal to ``row_number() OVER (PARTITION BY part ORDER BY key)``.
+    Equal to ``row_number() OVER (PARTITION BY part ORDER BY key)``.  With
+    ``size_col`` the group size is added too (read off the offset table, no
+    extra pass).
     """
     part = list(part)
-    if n_rows is None:
-        n_rows = df.count()
     d = _digits_for(n_rows)
     b = df.withColumn("_bkt", F.substring(F.col(key), 1, d))
     sizes = b.groupBy(*part, "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
     # prefix offsets over at most 16**d buckets per group (small table)
     w = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*part, "_bkt", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_off"))
-    n_groups_bound = 16 ** d * 64  # buckets x a generous bound on distinct groups
-    j = join_small(b, offsets, [*part, "_bkt"], how="inner", state_rows=n_groups_bound)
+    extra = [F.sum("_bn").over(Window.partitionBy(*part)).alias(size_col)] if size_col else []
+    offsets = sizes.select(*part, "_bkt", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_off"), *extra)
+    # offsets: one row per non-empty (group, bucket); broadcast when the bound
+    # 16**d buckets x 64 groups holds, else join_small counts it
+    j = join_small(b, offsets, [*part, "_bkt"], how="inner",
+                   state_rows=16 ** d * 64 if d <= MAX_DIGITS else None)
     wr = Window.partitionBy(*part, "_bkt").orderBy(key)
     return j.withColumn(rank_col, (F.col("_off") + F.row_number().over(wr)).cast("bigint")) \
             .drop("_bkt", "_off")
@@ -91,8 +99,7 @@ def stratified_split(df: DataFrame, label: str = "label", test_pct: int = 20, se
     """Adds ``is_val`` (boolean): within each class, the ``floor(n_c*pct/100)``
     rows with the smallest hash go to validation."""
     k = df.withColumn("_h", hash_key(row_id, seed))
-    r = exact_rank(k, [label], "_h", "_r", n_rows)
-    r = with_class_sizes(r, label)
+    r = exact_rank(k, [label], "_h", "_r", n_rows, size_col="_n_c")
     return (r.withColumn("is_val", F.col("_r") * 100 <= F.col("_n_c") * test_pct)
              .drop("_h", "_r", "_n_c"))
 

@@ -11,6 +11,7 @@ import math
 from dataclasses import dataclass, field
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -293,6 +294,9 @@ class TargetEncoder:
         table = st.select("column", "value", "n", *[
             ((F.col(f"n_{j}") + F.lit(k * prior[j])) / (F.col("n") + F.lit(k))).alias(f"e_{j}")
             for j in cls])
-        # the encoding table is not counted here (one job less); join_small
-        # counts it before choosing broadcast or shuffle
-        return TargetEncodeState(table, prior, cls, list(self.columns))
+        # materialise the (small) state once: one job, and its size decides
+        # broadcast vs shuffle for every later apply
+        table = table.persist(StorageLevel.MEMORY_AND_DISK)
+        sizes = table.groupBy("column").count().collect()
+        n_max = max([r["count"] for r in sizes], default=0)
+        return TargetEncodeState(table, prior, cls, list(self.columns), n_rows=n_max)

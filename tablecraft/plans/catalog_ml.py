@@ -13,7 +13,7 @@ from ..operators.sampling import (alpha_weight, balanced_weight, hash_int_sql, h
 from ..sources.bookings import with_bookings
 from ..sources.tables import read_table
 from . import sqlgen
-from .common import LABELED_CTE, labeled, split_sql
+from .common import LABELED_CTE, labeled, reuse, split_sql
 from .experts import CLASSES, expert_long, expert_long_sql, oof_sql, oof_target_encode
 from .registry import register
 
@@ -108,8 +108,8 @@ def weight_alpha(spark, sf):
 
 def holdout_frames(spark, sf):
     lab = labeled(spark, sf)
-    s = lab.withColumn("is_train", hash_unit(hash_key("row_id", 13)) < F.lit(0.95)) \
-           .withColumn("is_online", hash_unit(hash_key("row_id", 14)) < F.lit(0.5))
+    s = reuse(lab.withColumn("is_train", hash_unit(hash_key("row_id", 13)) < F.lit(0.95))
+              .withColumn("is_online", hash_unit(hash_key("row_id", 14)) < F.lit(0.5)))
     train = s.where("is_train")
     hold = s.where(~F.col("is_train"))
     return train, hold
@@ -358,3 +358,30 @@ def met_fold_summary(spark, sf):
 
 
 _ = (Window, balanced_weight)
+
+
+# --------------------------------------------------------------------------
+# flagship: stratified split -> experts fitted on train -> uniform average on
+# the validation part -> log-loss and weighted F1
+# --------------------------------------------------------------------------
+
+def _flagship_sql() -> str:
+    ctes = [LABELED_CTE, sqlgen.stratified_split_cte("sp", "labeled"),
+            "train AS (SELECT * FROM sp WHERE NOT is_val)", "hold AS (SELECT *, FALSE AS is_online FROM sp WHERE is_val)",
+            *expert_long_sql("train", "hold", TE_COLS)]
+    return with_bookings(*ctes).rstrip() + _AVG_SQL + _scored_sql() + F1_SQL_BODY + """
+SELECT (SELECT count(*) FROM scored) AS n_test,
+       (SELECT round(avg(-ln(least(greatest(p_true, 1e-15), 1 - 1e-15))), 6) FROM scored) AS log_loss,
+       (SELECT round(sum(support * f1) / sum(support), 6) FROM f1c) AS f1_weighted"""
+
+
+@register("te_expert_holdout_metrics", _flagship_sql(), "2.11")
+def te_expert_holdout_metrics(spark, sf):
+    """Minimum end-to-end slice: label map, stratified 80/20 split, prior and
+    smoothed target-encoding experts fitted on train, uniform aggregation on
+    the validation part, argmax, log-loss and weighted F1."""
+    sp = reuse(stratified_split(labeled(spark, sf), "label", 20, 42))
+    train, val = sp.where(~F.col("is_val")), sp.where("is_val")
+    long = expert_long(train, val, TE_COLS)
+    avg = ensemble.weighted_average(long, ensemble.uniform_weights(long))
+    return _metrics_frame(avg, val)

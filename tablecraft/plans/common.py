@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,12 @@ def r6(c, name: str | None = None):
     return col.alias(name or c) if (name or isinstance(c, str)) else col
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Persist a frame that feeds several fit jobs (memory, spilling to disk).
+    A lost executor recomputes its blocks from lineage."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bookings with the integer ``label`` (0 check-out, 1 cancel, 2 no-show)."""
     b = bookings(spark, sf_dir)
