@@ -37,5 +37,5 @@ def register(name: str, sql: str | None = None, section: str = ""):
 
 def load_all() -> dict[str, Entry]:
     # import for side effects (registration)
-    from . import catalog_basic, catalog_stats, catalog_ml  # noqa: F401
+    from . import catalog_basic, catalog_stats, catalog_ml, catalog_models  # noqa: F401
     return REGISTRY
