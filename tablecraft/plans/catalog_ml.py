@@ -385,3 +385,52 @@ def te_expert_holdout_metrics(spark, sf):
     long = expert_long(train, val, TE_COLS)
     avg = ensemble.weighted_average(long, ensemble.uniform_weights(long))
     return _metrics_frame(avg, val)
+
+
+# --------------------------------------------------------------------------
+# 2.13 streaming forms of the online phase
+# --------------------------------------------------------------------------
+
+def _stream_score_sql() -> str:
+    ctes = [LABELED_CTE, sqlgen.stratified_split_cte("sp", "labeled"),
+            "train AS (SELECT * FROM sp WHERE NOT is_val)", "arrivals AS (SELECT * FROM sp WHERE is_val)",
+            sqlgen.prior_cte("prior", "train"), *sqlgen.te_ctes("train", TE_COLS, "prior", prefix="enc_s"),
+            f"wide AS ({sqlgen.te_apply('arrivals', TE_COLS, 'prior', prefix='enc_s')})"]
+    ps = []
+    for j in CLASSES:
+        tail = f"{TE_COLS[0]}_{j}"
+        for c in TE_COLS[1:]:
+            tail = f"({tail} + {c}_{j})"
+        ps.append(f"({sqlgen.prior_value('prior', j)} + {tail}) / {float(1 + len(TE_COLS))!r} AS p_{j}")
+    return with_bookings(*ctes) + f"""SELECT row_id, p_0, p_1, p_2,
+  CAST(CASE WHEN p_0 >= p_1 AND p_0 >= p_2 THEN 0 WHEN p_1 >= p_2 THEN 1 ELSE 2 END AS INTEGER) AS prediction
+FROM (SELECT row_id, {', '.join(ps)} FROM wide)"""
+
+
+@register("stream_score", _stream_score_sql(), "2.13")
+def stream_score_q(spark, sf):
+    """Validation bookings arrive as a file stream (4 micro-batches), are
+    enriched by stream-static joins with the encodings fitted on the train
+    part and scored; equals the batch scoring of the same rows."""
+    from ..operators.transforms import TargetEncoder
+    from ..streaming.online import stream_score
+    sp = reuse(stratified_split(labeled(spark, sf), "label", 20, 42))
+    st = TargetEncoder(TE_COLS, "label").fit(sp.where(~F.col("is_val")))
+    arrivals = sp.where("is_val").select("row_id", *TE_COLS)
+    return stream_score(spark, arrivals, st).select("row_id", "p_0", "p_1", "p_2", "prediction")
+
+
+@register("stream_ewa", _hold_experts_sql().rstrip() + _LOSS_SQL + f"""
+SELECT expert, round(cum_loss, 6) AS cum_loss, round(u / sum(u) OVER (), 6) AS weight FROM (
+  SELECT expert, cum_loss, exp(-{ETA} * (cum_loss - min(cum_loss) OVER ())) AS u
+  FROM (SELECT expert, sum(loss) AS cum_loss FROM losses GROUP BY expert))""", "2.13")
+def stream_ewa_q(spark, sf):
+    """EWA weights maintained by a foreachBatch stream over the labelled online
+    arrivals; equals the batch EWA weights."""
+    from ..operators.transforms import TargetEncoder
+    from ..streaming.online import stream_ewa
+    train, hold = holdout_frames(spark, sf)
+    st = TargetEncoder(TE_COLS, "label").fit(train)
+    arrivals = hold.where("is_online").select("row_id", "label", *TE_COLS)
+    w = stream_ewa(spark, arrivals, st, ETA)
+    return w.select("expert", F.round("cum_loss", 6).alias("cum_loss"), F.round("weight", 6).alias("weight"))
