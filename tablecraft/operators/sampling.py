@@ -76,19 +76,47 @@ def exact_rank(df: DataFrame, part: Sequence[str], key: str, rank_col: str = "ra
     d = _digits_for(n_rows)
     b = df.withColumn("_bkt", F.substring(F.col(key), 1, d))
     sizes = b.groupBy(*part, "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
-    # prefix offsets over at most 16**d buckets per group (small table)
-    w = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    extra = [F.sum("_bn").over(Window.partitionBy(*part)).alias(size_col)] if size_col else []
-    offsets = sizes.select(*part, "_bkt", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_off"), *extra)
-    # offsets: one row per non-empty (group, bucket); broadcast when the bound
-    # 16**d buckets x 64 groups holds, else join_small counts it
-    j = join_small(b, offsets, [*part, "_bkt"], how="inner",
-                   state_rows=16 ** d * 64 if d <= MAX_DIGITS else None)
+    # bucket sizes: at most (#groups x 16**d) rows whatever the table size.
+    # Below OFFSETS_ON_DRIVER rows the prefix offsets are computed on the
+    # driver and broadcast (one job, no extra shuffle); above, by a window.
+    got = sizes.limit(OFFSETS_ON_DRIVER + 1).collect()
+    if len(got) <= OFFSETS_ON_DRIVER:
+        offsets = _driver_offsets(df.sparkSession, got, part, df.schema, size_col)
+        j = b.join(F.broadcast(offsets), [*part, "_bkt"], "inner")
+    else:
+        w = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+        extra = [F.sum("_bn").over(Window.partitionBy(*part)).alias(size_col)] if size_col else []
+        offsets = sizes.select(*part, "_bkt", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_off"),
+                               *extra)
+        j = join_small(b, offsets, [*part, "_bkt"], how="inner", state_rows=len(got))
     wr = Window.partitionBy(*part, "_bkt").orderBy(key)
     return j.withColumn(rank_col, (F.col("_off") + F.row_number().over(wr)).cast("bigint")) \
             .drop("_bkt", "_off")
 
 
+OFFSETS_ON_DRIVER = 300_000
+
+
+def _driver_offsets(spark, rows, part, schema, size_col):
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault(tuple(r[p] for p in part), []).append((r["_bkt"], r["_bn"]))
+    out = []
+    for g, bs in groups.items():
+        bs.sort()
+        total = sum(n for _, n in bs)
+        acc = 0
+        for bkt, n in bs:
+            out.append((*g, bkt, acc) + ((total,) if size_col else ()))
+            acc += n
+    fields = [schema[p] for p in part]
+    from pyspark.sql import types as T
+    st = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields] +
+                      [T.StructField("_bkt", T.StringType()), T.StructField("_off", T.LongType())] +
+                      ([T.StructField(size_col, T.LongType())] if size_col else []))
+    return spark.createDataFrame(out, st)
+
+
 def with_class_sizes(df: DataFrame, label: str, n_col: str = "_n_c") -> DataFrame:
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias(n_col))
     return join_small(df, sizes, [label], how="inner", state_rows=1024)

@@ -277,17 +277,26 @@ def ens_ewa_test_metrics(spark, sf):
 
 
 def _metrics_frame(avg: DataFrame, hold: DataFrame) -> DataFrame:
-    """One row (n_test, log_loss, f1_weighted) from long averaged probs."""
-    pred = ensemble.argmax_long(avg)
-    lab = hold.select("row_id", "label")
-    scored = pred.join(lab, "row_id")
-    pt = avg.join(lab, "row_id").where(F.col("class") == F.col("label"))
-    ll = metrics.log_loss_df(pt.withColumnRenamed("p", "p_true"), "p_true")
-    f1 = metrics.f1_weighted_df(scored, "label", "prediction")
-    n = scored.agg(F.count(F.lit(1)).alias("n_test"))
-    k = F.lit(1).alias("_k")
-    return (n.select("n_test", k).join(ll.select(F.round("log_loss", 6).alias("log_loss"), k), "_k")
-            .join(f1.select(F.round("f1_weighted", 6).alias("f1_weighted"), k), "_k").drop("_k"))
+    """One row (n_test, log_loss, f1_weighted) from long averaged probs:
+    one groupBy(row_id) gives prediction and p(true class), then one
+    aggregate over the (at most k*k row) confusion table."""
+    j = avg.join(hold.select("row_id", "label"), "row_id")
+    per_row = j.groupBy("row_id", "label").agg(
+        F.max(F.struct(F.col("p"), (-F.col("class")).alias("nc"))).alias("b"),
+        F.sum(F.when(F.col("class") == F.col("label"), F.col("p"))).alias("p_true"))
+    scored = per_row.select("label", (-F.col("b.nc")).cast("int").alias("prediction"),
+                            (-F.log(F.least(F.greatest("p_true", F.lit(1e-15)), F.lit(1 - 1e-15)))).alias("loss"))
+    cm = scored.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"), F.sum("loss").alias("ls"))
+    n = F.sum("n")
+    f1 = None
+    for c in CLASSES:
+        sup = F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0))
+        prd = F.sum(F.when(F.col("prediction") == c, F.col("n")).otherwise(0))
+        tp = F.sum(F.when((F.col("label") == c) & (F.col("prediction") == c), F.col("n")).otherwise(0))
+        term = sup * F.when(tp > 0, 2.0 * tp / (sup + prd)).otherwise(0.0)
+        f1 = term if f1 is None else f1 + term
+    return cm.agg(n.alias("n_test"), F.round(F.sum("ls") / n, 6).alias("log_loss"),
+                  F.round(f1 / n, 6).alias("f1_weighted"))
 
 
 # --------------------------------------------------------------------------
@@ -380,7 +389,7 @@ def te_expert_holdout_metrics(spark, sf):
     """Minimum end-to-end slice: label map, stratified 80/20 split, prior and
     smoothed target-encoding experts fitted on train, uniform aggregation on
     the validation part, argmax, log-loss and weighted F1."""
-    sp = reuse(stratified_split(labeled(spark, sf), "label", 20, 42))
+    sp = reuse(stratified_split(reuse(labeled(spark, sf)), "label", 20, 42))
     train, val = sp.where(~F.col("is_val")), sp.where("is_val")
     long = expert_long(train, val, TE_COLS)
     avg = ensemble.weighted_average(long, ensemble.uniform_weights(long))
@@ -414,7 +423,7 @@ def stream_score_q(spark, sf):
     part and scored; equals the batch scoring of the same rows."""
     from ..operators.transforms import TargetEncoder
     from ..streaming.online import stream_score
-    sp = reuse(stratified_split(labeled(spark, sf), "label", 20, 42))
+    sp = reuse(stratified_split(reuse(labeled(spark, sf)), "label", 20, 42))
     st = TargetEncoder(TE_COLS, "label").fit(sp.where(~F.col("is_val")))
     arrivals = sp.where("is_val").select("row_id", *TE_COLS)
     return stream_score(spark, arrivals, st).select("row_id", "p_0", "p_1", "p_2", "prediction")

@@ -24,7 +24,7 @@ CLASSES = (0, 1, 2)
 
 def train_test(spark, sf):
     """Stratified 80/20: train rows keep labels, test rows are scored."""
-    sp = reuse(stratified_split(labeled(spark, sf), "label", 20, 42))
+    sp = reuse(stratified_split(reuse(labeled(spark, sf)), "label", 20, 42))
     return sp.where(~F.col("is_val")).drop("is_val"), sp.where("is_val").drop("is_val")
 
 
