@@ -180,12 +180,14 @@ def _fit_hinge_ovr(feats: DataFrame, clf: Clf):
     from pyspark.ml.functions import array_to_vector
     n = feats.count()
     x = feats.withColumn("_v", array_to_vector("features"))
-    models = []
-    for c in CLASSES:
+
+    def fit_one(c):
         y = x.withColumn("_y", (F.col("label") == c).cast("double"))
-        m = LinearSVC(featuresCol="_v", labelCol="_y", regParam=1.0 / (clf.C * n), maxIter=100,
-                      tol=1e-3, standardization=False).fit(y)
-        models.append(m)
+        return LinearSVC(featuresCol="_v", labelCol="_y", regParam=1.0 / (clf.C * n), maxIter=100,
+                         tol=1e-3, standardization=False).fit(y)
+
+    with ThreadPoolExecutor(max_workers=len(CLASSES)) as ex:   # independent binary fits
+        models = list(ex.map(fit_one, CLASSES))
     return _OvRHinge(models, CLASSES)
 
 
