@@ -45,7 +45,7 @@ def month_lenient(c: Column | str, numeric: bool = False) -> Column:
     en = _map((name, i + 1) for i, name in enumerate(MONTHS_EN))[t]
     ab = _map((name, i + 1) for i, name in enumerate(MONTHS_EN_ABBR))[t]
     fr = _map(MONTHS_FR.items())[F.lower(t)]
-    digits = F.when(t.rlike("^[0-9]+$"), t.cast("int"))
+    digits = F.when(t.rlike("^[0-9]+$"), t.try_cast("int"))
     num = F.when((digits >= 1) & (digits <= 12), digits)
     return F.coalesce(en, ab, fr, num).cast("int")
 
