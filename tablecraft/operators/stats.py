@@ -73,17 +73,22 @@ def column_profile(df: DataFrame, cols: Sequence[str]) -> dict[str, dict]:
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     accuracy: int = 10_000, max_bracket_rows: int = 100_000,
-                    max_rounds: int = 6) -> dict[str, list[float | None]]:
+                    max_rounds: int = 6, counts: dict[str, int] | None = None
+                    ) -> dict[str, list[float | None]]:
     """Exact quantiles per column, equal to ``percentile`` / ``quantile_cont``.
 
     Returns ``{col: [q(p) for p in probs]}`` (None for an all-null column).
+    ``counts`` (non-null values per column), when the caller already has
+    them, saves the counting job.
     """
     if not cols:
         return {}
     xs = {c: F.col(c).cast("double") for c in cols}
-    # one count job for all columns
-    r = df.agg(*[F.count(xs[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    n = {c: r[f"n{i}"] for i, c in enumerate(cols)}
+    if counts is not None and all(c in counts for c in cols):
+        n = {c: counts[c] for c in cols}
+    else:  # one count job for all columns
+        r = df.agg(*[F.count(xs[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+        n = {c: r[f"n{i}"] for i, c in enumerate(cols)}
 
     # targets: (col, p) -> the 0-based ranks needed for interpolation
     targets = []
@@ -190,8 +195,9 @@ def _value_at(values: list[tuple[float, int]], k: int) -> float:
     raise ValueError("rank outside bracket")
 
 
-def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
-    q = exact_quantiles(df, cols, [0.5])
+def medians(df: DataFrame, cols: Sequence[str],
+            counts: dict[str, int] | None = None) -> dict[str, float | None]:
+    q = exact_quantiles(df, cols, [0.5], counts=counts)
     return {c: q[c][0] for c in cols}
 
 

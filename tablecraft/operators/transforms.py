@@ -36,6 +36,7 @@ def _replace(df: DataFrame, exprs: dict[str, Column], drop: Sequence[str] = ())
 class SkewClipLogState:
     bounds: dict[str, tuple[float, float]]
     log_cols: list[str]
+    counts: dict[str, int] | None = None
 
     def apply(self, df: DataFrame) -> DataFrame:
         exprs = {}
@@ -61,8 +62,9 @@ class SkewClipLog:
 
     def fit(self, df: DataFrame) -> SkewClipLogState:
         cols = list(self.columns) if self.columns is not None else stats.numeric_columns(df)
-        q = stats.exact_quantiles(df, cols, [self.p_low / 100.0, self.p_high / 100.0])
         prof = stats.column_profile(df, cols)
+        q = stats.exact_quantiles(df, cols, [self.p_low / 100.0, self.p_high / 100.0],
+                                  counts={c: prof[c]["n"] for c in cols})
         bounds, logs = {}, []
         for c in cols:
             lo, hi = q[c]
@@ -74,7 +76,8 @@ class SkewClipLog:
             if prof[c]["min"] >= 0.0 and sk is not None and not math.isnan(sk) \
                     and abs(sk) > self.skew_thresh:
                 logs.append(c)
-        return SkewClipLogState(bounds, logs)
+        # clip and log keep nulls as nulls: non-null counts carry over
+        return SkewClipLogState(bounds, logs, counts={c: prof[c]["n"] for c in cols})
 
 
 # --------------------------------------------------------------------------
@@ -101,10 +104,11 @@ class ImputeState:
 @dataclass
 class ImputeMedian:
     columns: Sequence[str] | None = None
+    counts: dict[str, int] | None = None   # known non-null counts (skip a job)
 
     def fit(self, df: DataFrame) -> ImputeState:
         cols = list(self.columns) if self.columns is not None else stats.numeric_columns(df)
-        med = stats.medians(df, cols)
+        med = stats.medians(df, cols, counts=self.counts)
         fill = {c: float(v) for c, v in med.items() if v is not None}
         # a column with no observed value is dropped, as the reference's imputer does
         return ImputeState(fill, [c for c, v in med.items() if v is None], as_double=True)
@@ -244,6 +248,8 @@ class OneHot:
         codes = (codes.where(F.col("code") >= 0)
                  .withColumn("slot", F.when(F.col("frequent"), F.col("value"))
                              .otherwise(F.lit(INFREQUENT))))
+        # materialised once: every apply joins it instead of re-aggregating
+        codes = codes.persist(StorageLevel.MEMORY_AND_DISK)
         out_cats = {c: (v[1:] if first_dropped[c] else v) for c, v in cats.items()}
         return OneHotState(codes, out_cats, n_codes)
 

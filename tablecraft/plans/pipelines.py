@@ -108,14 +108,16 @@ def _feature_stages(df: DataFrame, p: Prep) -> DataFrame:
 def fit_prep(train: DataFrame, p: Prep) -> FittedPrep:
     x = _feature_stages(train, p)
     steps = []
+    counts = None
     if p.skew is not None:
         num = [c for c in stats.numeric_columns(x, RESERVED)]
         st = SkewClipLog(*p.skew, columns=num).fit(x)
         steps.append(st)
         x = st.apply(x)
+        counts = st.counts
     num = stats.numeric_columns(x, RESERVED)
     cat = stats.string_columns(x, RESERVED) if p.use_cats else []
-    imp = ImputeMedian(num).fit(x)
+    imp = ImputeMedian(num, counts=counts).fit(x)
     steps.append(imp)
     x = imp.apply(x)
     num = [c for c in num if c not in imp.dropped]
