@@ -229,10 +229,32 @@ def score_proba(spark, sf):
         .select("row_id", F.col("class").cast("int"), F.round("p", 6).alias("p"))
 
 
-@register("tx_rbf_features", None, "2.6")
+def _rbf_sql(n_comp: int = 300, gamma: float = 0.5) -> str:
+    from ..operators.rff import hashed_weights_sql
+    from . import sqlgen
+    num = BOOKING_NUMERIC
+    med = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS {c}" for c in num)
+    imp = ", ".join(f"coalesce(CAST({c} AS DOUBLE), (SELECT {c} FROM med)) AS {c}" for c in num)
+    st = ", ".join(f"avg({c}) AS {c}__mu, stddev_pop({c}) AS {c}__sd" for c in num)
+    xs = " UNION ALL ".join(
+        f"SELECT row_id, {j} AS j, (coalesce(CAST({c} AS DOUBLE), (SELECT {c} FROM med)) - (SELECT {c}__mu FROM st)) / "
+        f"(SELECT CASE WHEN {c}__sd IS NULL OR {c}__sd = 0 THEN 1.0 ELSE {c}__sd END FROM st) AS x FROM te"
+        for j, c in enumerate(num))
+    ctes = [LABELED_CTE, sqlgen.stratified_split_cte("sp", "labeled"),
+            "tr AS (SELECT * FROM sp WHERE NOT is_val)", "te AS (SELECT * FROM sp WHERE is_val)",
+            f"med AS (SELECT {med} FROM tr)", f"imp AS (SELECT {imp} FROM tr)", f"st AS (SELECT {st} FROM imp)",
+            f"xl AS ({xs})", *hashed_weights_sql(len(num), n_comp, gamma, 42),
+            f"z AS (SELECT xl.row_id, w.k, sqrt({2.0 / n_comp!r}) * cos(sum(xl.x * w.w) + b.b) AS z "
+            f"FROM xl JOIN rff_w w ON xl.j = w.j JOIN rff_b b ON w.k = b.k GROUP BY xl.row_id, w.k, b.b)"]
+    return with_bookings(*ctes) + (f"SELECT row_id, CAST({n_comp} AS INTEGER) AS n_components, "
+                                   "round(sum(z), 6) AS z_sum, round(sum(z * z), 6) AS z_sumsq FROM z GROUP BY row_id")
+
+
+@register("tx_rbf_features", _rbf_sql(), "2.6")
 def tx_rbf_features(spark, sf):
     """Random Fourier features (300 components, gamma 0.5) of the standardised
-    numeric columns, per row (sum and sum of squares reported)."""
+    numeric columns, fitted on the train part, applied to the test part; per
+    row the number of components, their sum and sum of squares."""
     tr, te = train_test(spark, sf)
     num = BOOKING_NUMERIC
     med = ImputeMedian(num).fit(tr)
