@@ -154,7 +154,7 @@ def fit_classifier(feats: DataFrame, n_features: int, clf: Clf, label: str = "la
     elif clf.balanced:
         cw = linear.balanced_class_weights(feats, label, CLASSES, {2: clf.alpha})
     if clf.penalty == "l1":
-        return linear.fit_sqhinge_l1(feats, n_features, CLASSES, clf.C, cw, max_iter=clf.max_iter * 4)
+        return linear.fit_sqhinge_l1(feats, n_features, CLASSES, clf.C, cw, max_iter=clf.max_iter)
     return linear.fit_sqhinge_l2(feats, n_features, CLASSES, clf.C, cw, max_iter=clf.max_iter,
                                  weight=weight)
 

@@ -41,8 +41,9 @@ def test_svm_objective_decreases_and_learns(spark):
     f1 = f1_weighted(m.transform(df))
     majority = np.bincount(y).max() / len(y)
     assert f1 > 0.8 and f1 > majority
-    l1 = linear.fit_sqhinge_l1(df, 4, [0, 1, 2], 1.0, cw, max_iter=300)
-    assert f1_weighted(l1.transform(df)) > majority
+    l1 = linear.fit_sqhinge_l1(df, 4, [0, 1, 2], 1.0, cw, max_iter=50)
+    assert all(b <= a + 1e-6 for a, b in zip(l1.history, l1.history[1:]))
+    assert f1_weighted(l1.transform(df)) > 0.8
 
 
 def test_scoring_invariant_under_repartition(spark):
