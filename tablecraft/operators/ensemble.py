@@ -73,7 +73,9 @@ def running_sum(df: DataFrame, part: Sequence[str], order: str, value: str, out:
     tot = b.groupBy(*part, "_b").agg(F.sum(value).alias("_bt"))
     wo = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*part, "_b", F.coalesce(F.sum("_bt").over(wo), F.lit(0.0)).alias("_off"))
-    j = join_small(b, offs, [*part, "_b"], how="inner", state_rows=1_000_000)
+    # offsets: one row per (part, bucket) = rows / bucket_width: counted, then
+    # broadcast or shuffled accordingly
+    j = join_small(b, offs, [*part, "_b"], how="inner", state_rows=None)
     wi = Window.partitionBy(*part, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return j.withColumn(out, F.col("_off") + F.sum(value).over(wi)).drop("_b", "_off")
 

@@ -39,6 +39,26 @@ def src_contract(spark, sf):
     return contract_counts(bookings(spark, sf), "row_id", "reservation_status")
 
 
+BOOKINGS_DDL = ("row_id bigint, reservation_status string, arrival_date_year int, arrival_date_month string, "
+                "arrival_date_day_of_month int, country string, market_segment string, deposit_type string, "
+                "adr double, lead_time double, stays_in_weekend_nights bigint, stays_in_week_nights bigint, "
+                "adults bigint, children bigint, previous_cancellations bigint, "
+                "previous_bookings_not_canceled bigint, reserved_room_type string, assigned_room_type string, "
+                "agent bigint")
+
+
+@register("src_csv_scan", with_bookings() + "SELECT * FROM bookings", "2.1")
+def src_csv_scan(spark, sf):
+    """Header CSV written (distributed) to the shared folder and scanned back
+    with a declared schema (no inference pass)."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources.tables import read_csv
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    bookings(spark, sf).write.mode("overwrite").option("header", "true").csv(path)
+    return read_csv(spark, path, schema=BOOKINGS_DDL)
+
+
 @register("sink_submission", with_bookings(LABELED_CTE) + """
 SELECT row_id, CAST(label AS INTEGER) AS reservation_status FROM labeled""", "2.1")
 def sink_submission(spark, sf):
@@ -125,6 +145,21 @@ def proj_cast_float(spark, sf):
                     F.col("country").cast("string").alias("country"))
 
 
+@register("proj_cast_category", with_bookings() + """
+SELECT row_id, CAST(dense_rank() OVER (ORDER BY country) - 1 AS INTEGER) AS country_ix,
+       CAST(dense_rank() OVER (ORDER BY market_segment) - 1 AS INTEGER) AS market_segment_ix
+FROM bookings""", "2.2")
+def proj_cast_category(spark, sf):
+    """Categorical dtype for native-categorical learners: alphabetical index
+    (StringIndexer metadata), fitted by one distinct-values job."""
+    from pyspark.ml.feature import StringIndexer
+    b = bookings(spark, sf)
+    cols = ["country", "market_segment"]
+    ix = StringIndexer(inputCols=cols, outputCols=[f"{c}_ix" for c in cols],
+                       stringOrderType="alphabetAsc", handleInvalid="keep").fit(b)
+    return ix.transform(b).select("row_id", *[F.col(f"{c}_ix").cast("int").alias(f"{c}_ix") for c in cols])
+
+
 @register("fn_month_strict", with_bookings() + f"""
 SELECT row_id, {month_number_sql()} AS month FROM bookings""", "2.2")
 def fn_month_strict(spark, sf):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,11 +77,15 @@ def oof_target_encode(df: DataFrame, cols: Sequence[str], label: str = "label",
         fold, "column", "value", "n",
         *[F.when(F.col("n") > 0, (F.col(f"n_{j}") + F.lit(k) * F.col(f"pr_{j}")) / (F.col("n") + F.lit(k)))
           .alias(f"e_{j}") for j in cls])
+    enc = enc.persist(StorageLevel.MEMORY_AND_DISK)
+    # (fold, category) rows per column: one small job decides broadcast vs shuffle
+    sizes = {r["column"]: r["count"] for r in enc.groupBy("column").count().collect()}
     out = join_small(df.select("row_id", fold, *cols), pri, [fold], how="inner", state_rows=1000)
     for c in cols:
         t = enc.where(F.col("column") == c).select(
             F.col(fold).alias("_f"), F.col("value").alias("_v"), *[F.col(f"e_{j}").alias(f"_e_{j}") for j in cls])
-        out = out.join(t, (F.col(fold) == F.col("_f")) & (F.col(c).cast("string") == F.col("_v")), "left")
+        out = join_small(out, t, (F.col(fold) == F.col("_f")) & (F.col(c).cast("string") == F.col("_v")),
+                         how="left", state_rows=sizes.get(c, 0))
         out = out.withColumns({f"{c}_{j}": F.coalesce(F.col(f"_e_{j}"), F.col(f"pr_{j}")) for j in cls}) \
             .drop("_f", "_v", *[f"_e_{j}" for j in cls])
     return out.select("row_id", fold, *[f"{c}_{j}" for c in cols for j in cls])
