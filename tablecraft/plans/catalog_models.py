@@ -325,3 +325,31 @@ def fit_meta_learner(spark, sf):
 
 
 _ = (r6,)
+
+
+@register("ens_stack_score", None, "2.11")
+def ens_stack_score(spark, sf):
+    """Held-out stacking score: meta learner fitted on the out-of-fold matrix,
+    base models refitted on the whole training part, test rows scored by the
+    bases and then by the meta learner (the reference only reports the
+    in-sample score of its meta learner)."""
+    oof, te = _oof_matrix(spark, sf)
+    feats = [c for c in oof.columns if "_class" in c]
+    x = oof.select("row_id", "label", F.array(*feats).alias("features"),
+                   (F.abs(F.xxhash64("row_id")) % 10 == 0).alias("is_valid"))
+    meta = trees.fit_boosted_ovr(x, 300, 5, 0.05, validation_col="is_valid")
+    lab = labeled(spark, sf)
+    te_cols, oh_cols = route_columns(lab, BOOKING_STRING)
+    tr, test = train_test(spark, sf)
+    fe = NBFeatures(tr, te_cols, oh_cols)
+    ftr = fe.apply(tr).persist(StorageLevel.MEMORY_AND_DISK)
+    fte = fe.apply(test)
+    cols = []
+    for name, fit in BASES.items():
+        cols.append(fit(ftr).transform(fte).select(
+            "row_id", *[F.col("probability")[j].alias(f"{name}_class{j}") for j in CLASSES]))
+    m = cols[0]
+    for c in cols[1:]:
+        m = m.join(c, "row_id")
+    z = m.select("row_id", F.array(*feats).alias("features"))
+    return _scored(meta, z)
