@@ -73,13 +73,22 @@ def exact_rank(df: DataFrame, part: Sequence[str], key: str, rank_col: str = "ra
     extra pass).
     """
     part = list(part)
-    d = _digits_for(n_rows)
-    b = df.withColumn("_bkt", F.substring(F.col(key), 1, d))
-    sizes = b.groupBy(*part, "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
+    # First pass at 2 hex digits (<= 256 buckets per group): cheap to collect,
+    # and it yields the group sizes.  Only when a bucket would hold more than
+    # ROWS_PER_BUCKET rows is a finer bucketing (up to 4 digits) counted.
+    d = _digits_for(n_rows) if n_rows is not None else 2
+
+    def bucket_sizes(dd):
+        bb = df.withColumn("_bkt", F.substring(F.col(key), 1, dd))
+        ss = bb.groupBy(*part, "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
+        return bb, ss, ss.limit(OFFSETS_ON_DRIVER + 1).collect()
+
+    b, sizes, got = bucket_sizes(d)
+    if n_rows is None and got and max(r["_bn"] for r in got) > ROWS_PER_BUCKET and d < MAX_DIGITS:
+        b, sizes, got = bucket_sizes(MAX_DIGITS)
     # bucket sizes: at most (#groups x 16**d) rows whatever the table size.
     # Below OFFSETS_ON_DRIVER rows the prefix offsets are computed on the
-    # driver and broadcast (one job, no extra shuffle); above, by a window.
-    got = sizes.limit(OFFSETS_ON_DRIVER + 1).collect()
+    # driver and broadcast (no extra shuffle); above, by a window.
     if len(got) <= OFFSETS_ON_DRIVER:
         offsets = _driver_offsets(df.sparkSession, got, part, df.schema, size_col)
         j = b.join(F.broadcast(offsets), [*part, "_bkt"], "inner")

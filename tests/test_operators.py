@@ -45,7 +45,7 @@ def test_exact_rank_matches_window(spark):
     df = spark.range(3000).select(F.col("id").alias("row_id"), (F.col("id") % 3).alias("label"))
     k = df.withColumn("_h", sampling.hash_key("row_id", 5))
     want = k.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("_h")))
-    for n_rows in (None, 10_000_000):  # 4 digits (driver offsets) and 2 digits
+    for n_rows in (None, 10_000_000, 10 ** 12):  # 2, 2 and 4 hex digits
         got = sampling.exact_rank(k, ["label"], "_h", "r", n_rows=n_rows)
         diff = got.select("row_id", "r").exceptAll(want.select("row_id", "r")).count()
         assert diff == 0
