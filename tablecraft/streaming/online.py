@@ -69,6 +69,19 @@ def stream_score(spark: SparkSession, arrivals: DataFrame, state: TargetEncodeSt
     return spark.read.parquet(d["out"])
 
 
+def fold_loss_batch(batch: DataFrame, batch_id: int, names, state_path: str) -> None:
+    """Per-expert loss sums of one micro-batch written to the state table under
+    partition ``batch_id`` (dynamic overwrite: a replayed batch replaces its
+    own partition, so it is never counted twice)."""
+    sums = batch.agg(*[F.sum(n).alias(n) for n in names])
+    long = sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("expert"),
+                                                     F.coalesce(F.col(n), F.lit(0.0)).alias("loss"))
+                                           for n in names])).alias("e")) \
+        .select("e.expert", "e.loss", F.lit(batch_id).alias("batch_id"))
+    (long.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_id").parquet(state_path))
+
+
 def stream_ewa(spark: SparkSession, arrivals: DataFrame, state: TargetEncodeState,
                eta: float = 0.5, files_per_trigger: int = 1) -> DataFrame:
     """Running EWA weights over labelled arrivals; returns (expert, cum_loss, weight)."""
@@ -85,13 +98,7 @@ def stream_ewa(spark: SparkSession, arrivals: DataFrame, state: TargetEncodeStat
     names = [n for n, _ in experts]
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        sums = batch.agg(*[F.sum(n).alias(n) for n in names])
-        long = sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("expert"),
-                                                         F.coalesce(F.col(n), F.lit(0.0)).alias("loss"))
-                                               for n in names])).alias("e")) \
-            .select("e.expert", "e.loss", F.lit(batch_id).alias("batch_id"))
-        (long.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(d["state"]))
+        fold_loss_batch(batch, batch_id, names, d["state"])
 
     q = (losses.writeStream.foreachBatch(fold).option("checkpointLocation", d["chk"])
          .trigger(availableNow=True).start())
