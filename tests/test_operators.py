@@ -125,3 +125,16 @@ def test_weighted_f1_never_predicted_class(spark):
     df = spark.createDataFrame([(0, 0), (0, 0), (1, 0), (2, 2)], "label int, prediction int")
     # class 1 never predicted -> f1 0; class 0: tp 2, support 2, predicted 3 -> 0.8; class 2: 1
     assert abs(f1_weighted(df) - (2 * 0.8 + 1 * 0 + 1 * 1.0) / 4) < 1e-12
+
+
+def test_splits_independent_of_partitioning(spark):
+    df = spark.range(2000).select(F.col("id").alias("row_id"), (F.col("id") % 3).cast("int").alias("label"))
+    a = sampling.stratified_split(df, "label", 20, 42).select("row_id", "is_val")
+    b = sampling.stratified_split(df.repartition(11), "label", 20, 42).select("row_id", "is_val")
+    assert a.exceptAll(b).count() == 0
+    c = sampling.stratified_kfold(df.repartition(5, "label"), "label", 5, 42).select("row_id", "fold")
+    d = sampling.stratified_kfold(df, "label", 5, 42).select("row_id", "fold")
+    assert c.exceptAll(d).count() == 0
+    r1 = sampling.random_split(df, 0.8, 13).select("row_id", "is_train")
+    r2 = sampling.random_split(df.repartition(3), 0.8, 13).select("row_id", "is_train")
+    assert r1.exceptAll(r2).count() == 0
