@@ -23,7 +23,7 @@ import numpy as np
 from .textops import IS_CHAR
 
 L, N, S, O = 1, 2, 3, 0          # letter, number, white space, other
-MAX_STATES = 100_000
+MAX_STATES = 60_000
 
 
 @lru_cache(maxsize=1)
