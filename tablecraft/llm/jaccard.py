@@ -4,15 +4,15 @@ A document is a row of a 0/1 incidence matrix over its distinct word n-grams
 (lower-cased A-Z; fewer words than n: the whole sequence is one n-gram).  Two
 documents link when ``100 * |A & B| >= percent * |A | B|``.  The steps:
 
-1. Documents with the same set collapse to one class.  A document of ``n``
-   n-grams can only link with one that shares a member of its ``n -
-   ceil(percent * n / 100) + 1`` smallest hashes; these prefixes meet in blocks of
-   columns, and classes without a partner of fitting size are done.
-2. The other classes meet in column blocks with all n-grams.  Columns of a single
-   class go; counts of the others order each row from rare to common.  A row
-   whose private columns already exceed the prefix length is done.
-3. Rows that share a rare-first prefix column and fit in size form candidate
-   groups (alternating-star components).
+1. Documents with the same set collapse to one class.  All columns meet in blocks
+   by hash.  A column that no other class of a size that could link has is private
+   and goes; the others are counted.
+2. A row of ``n`` n-grams links only with one that shares a member of its first
+   ``n - ceil(percent * n / 100) + 1`` columns in any common order.  The order is rare
+   to common, so private columns come first, and a row that has this many of them is
+   done: common passages and frequent phrases do not make candidates.
+3. Rows that share one of these first columns and fit in size form candidate groups
+   (alternating-star components).
 4. The overlap counts of a group are the product of its rows, accumulated over
    blocks of columns, and pairs below the bound that their sizes derive are
    discarded.  Groups beyond ``TILE`` rows are cut into tiles by size class and
@@ -20,7 +20,8 @@ documents link when ``100 * |A & B| >= percent * |A | B|``.  The steps:
    spanning forest of its links, not the pairs.
 
 No link between different texts is lost: every step keeps a superset of the
-linking pairs and the last one counts overlaps in full.  Sets hold 64-bit hashes.
+linking pairs and the last one counts overlaps in full.  An n-gram is known by its
+block and 48 more bits of a 64-bit hash.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing
 and are their own component; repeated rows are copies; null ids take part and come
@@ -33,7 +34,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .exchange import Forest, block_of, components, first_of, n_blocks, pack, text_bytes, unpack
@@ -41,7 +41,7 @@ from .textops import LOWER, edges, mix, ranges, run_starts, span_hash, text_slic
 
 NGRAM = 5
 PERCENT = 75
-BLOCK_BYTES = 24 << 20      # bytes of text whose n-grams one column block holds, about
+BLOCK_BYTES = 32 << 20      # bytes of text whose n-grams one column block holds, about
 TILE = 1024                 # rows of one tile of the product
 BUCKET_ROWS = 2000          # rows of small groups multiplied by one task
 DENSE = 1 << 23             # cells of a dense block of columns
@@ -84,121 +84,174 @@ def class_key(hashes: np.ndarray) -> int:
     return int(mix(both[:1] * np.uint64(0x9E3779B97F4A7C15) + mix(both[1:]) + np.uint64(len(hashes))).view(np.int64)[0])
 
 
-def _payload_rows(blocks: int, cls: list[int], sizes: list[int], sets: list[np.ndarray]):
-    """(block, payload) of a slice: which of its rows have which hashes of a block."""
-    if not sets:
-        return [], []
-    h = np.concatenate(sets)
+def _blocked(blocks: int, sets: list[np.ndarray]):
+    """(block, row, hash) of all members, by block; rows ascend within a block."""
+    h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     who = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     at = block_of(h, blocks)
     order = np.argsort(at, kind="stable")
-    h, who, at = h[order], who[order], at[order]
-    cls, sizes = np.array(cls, np.int64), np.array(sizes, np.int32)
-    ids, out = [], []
-    start = run_starts(at)
-    for a, b in zip(start, np.append(start[1:], len(at))):
-        w = who[a:b]
-        rows = np.unique(w)
-        ids.append(int(at[a]))
-        out.append(pack(cls=cls[rows], n=sizes[rows], k=np.searchsorted(rows, w).astype(np.int32), h=h[a:b]))
-    return ids, out
+    return at[order], who[order], h[order]
 
 
-_PAYLOAD = ["<i8", "<i4", "<i4", "<u8"]
+_PAYLOAD = ["<i8", "<u4", "<u4", "<u4", "<u2"]      # classes, their sizes and members here; members in 32 and 16 bits
+_DOCS = ["<i8", "u1", "<i8", "<u4"]                 # id, whether it is null, class, size
 
 
-def _gather(table: pa.Table):
-    """All payloads of a block as (class, size, hash) per entry."""
-    cls, n, h = [], [], []
-    for raw in table.column("payload").to_pylist():
-        c, size, k, hh = unpack(raw, _PAYLOAD)
-        cls.append(c[k])
-        n.append(size[k])
-        h.append(hh)
-    return np.concatenate(cls), np.concatenate(n), np.concatenate(h)
+def _members(raw: bytes):
+    cls, n, count, low, high = unpack(raw, _PAYLOAD)
+    return cls, n, count, low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
 
 
-def _fits(n: np.ndarray, same_column: np.ndarray, percent: int) -> np.ndarray:
-    """Per neighbour pair of rows sorted by (column, size): whether their sizes allow a link."""
-    return same_column & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
-
-
-def _shared_classes(percent: int):
-    def run(key, table):
-        cls, n, h = _gather(table)
-        order = np.argsort(h)
-        new = first_of(h[order])
-        alone = new & np.append(new[1:], True)
-        cls, n, h = cls[order][~alone], n[order][~alone], h[order][~alone]
-        order = np.lexsort((cls, n, h))
-        cls, n, h = cls[order], n[order], h[order]
-        if len(h) < 2:
-            return pa.table({"cls": pa.array([], pa.int64())})
-        pair = _fits(n, h[1:] == h[:-1], percent) & (cls[1:] != cls[:-1])
-        return pa.table({"cls": np.unique(np.concatenate([cls[:-1][pair], cls[1:][pair]]))})
+def _incidence_pass(blocks: int, ngram: int):
+    """Per slice and block: the members of its classes (a class once), and documents dealt out with them."""
+    def run(batches):
+        for rows, data, offs in text_slices(batches, "text"):
+            sets = shingle_sets(data, offs, ngram)
+            cls, size = np.array([class_key(x) for x in sets], np.int64), np.array([len(x) for x in sets], np.int64)
+            pick = np.sort(np.unique(cls, return_index=True)[1])
+            at, who, h = _blocked(blocks, [sets[k] for k in pick])
+            out = {}
+            start = run_starts(at)
+            for a, b in zip(start, np.append(start[1:], len(at))):
+                first = run_starts(who[a:b])
+                k = pick[who[a:b][first]]
+                out[int(at[a])] = pack(cls=cls[k], n=size[k].astype(np.uint32), count=np.diff(np.append(first, b - a)).astype(np.uint32),
+                                       low=(h[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32), high=((h[a:b] >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16))
+            ids = rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64())
+            null = ids.is_null().to_numpy(zero_copy_only=False)
+            ids = ids.fill_null(0).to_numpy()
+            home = block_of(mix(cls.view(np.uint64)), blocks)
+            docs = {int(b): pack(id=ids[home == b], null=null[home == b].astype(np.uint8), cls=cls[home == b], n=size[home == b].astype(np.uint32))
+                    for b in np.unique(home)}
+            keys = sorted({*out, *docs})
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([out.get(b) for b in keys], pa.binary()),
+                                              pa.array([docs.get(b) for b in keys], pa.binary())], names=["block", "payload", "docs"])
     return run
 
 
-def _columns(key, table):
-    """Of a column block: per class its columns that another class has too, with their counts."""
-    cls, n, h = _gather(table)
-    order = np.lexsort((cls, h))
-    cls, n, h = cls[order], n[order], h[order]
+def _gather(payloads: list[bytes]):
+    """All payloads of a block: (classes, their sizes), and per entry the class's number and the hash."""
+    got = [_members(raw) for raw in payloads]
+    if not got:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    cls, first, back = np.unique(np.concatenate([g[0] for g in got]), return_index=True, return_inverse=True)
+    n = np.concatenate([g[1] for g in got])[first].astype(np.int64)
+    who = np.repeat(back, np.concatenate([g[2] for g in got])).astype(np.int32)
+    return cls, n, who, np.concatenate([g[3] for g in got])
+
+
+def _partners(n: np.ndarray, who: np.ndarray, h: np.ndarray, percent: int):
+    """Entries sorted by (hash, size), each class once per hash, and which neighbours could link by size."""
+    order = np.argsort(h)
+    new = first_of(h[order])
+    several = order[~(new & np.append(new[1:], True))]       # columns of one entry go at once
+    who, h = who[several], h[several]
+    order = np.lexsort((who, n[who], h))
+    who, h = who[order], h[order]
     once = first_of(h)
-    once[1:] |= cls[1:] != cls[:-1]
-    cls, n, h = cls[once], n[once], h[once]
-    start = run_starts(h)
-    df = np.diff(np.append(start, len(h)))
-    df = np.repeat(df, df)
-    keep = df > 1
-    cls, n, h, df = cls[keep], n[keep], h[keep], df[keep].astype(np.int32)
-    order = np.argsort(cls, kind="stable")
-    cls, n, h, df = cls[order], n[order], h[order], df[order]
-    start = run_starts(cls)
-    ends = np.append(start[1:], len(cls))
-    return pa.table({"cls": pa.array(cls[start]), "n": pa.array(n[start].astype(np.int64)),
-                     "part": pa.array([pack(h=h[a:b], df=df[a:b]) for a, b in zip(start, ends)], pa.binary())})
+    once[1:] |= who[1:] != who[:-1]
+    who, h = who[once], h[once]
+    size = n[who]
+    return who, h, (h[1:] == h[:-1]) & (100 * size[:-1] >= percent * size[1:])
+
+
+_ENTRY = np.dtype([("h", "<u8"), ("df", "<u4")])
+
+
+def _columns(blocks: int, percent: int):
+    """Of a column block: the entries that a class of fitting size shares, dealt on by class."""
+    def run(key, table):
+        cls, n, who, h = _gather([x for x in table.column("payload").to_pylist() if x is not None])
+        who, h, pair = _partners(n, who, h, percent)
+        start = run_starts(h)
+        df = np.diff(np.append(start, len(h)))
+        df = np.repeat(df, df)
+        keep = np.zeros(len(h), bool)
+        keep[1:] |= pair
+        keep[:-1] |= pair
+        who, h, df = who[keep], h[keep] | np.uint64(key[0].as_py() << 48), df[keep]
+        to = block_of(mix(cls.view(np.uint64)), blocks)[who]
+        order = np.lexsort((who, to))
+        who, h, df, to = who[order], h[order], df[order], to[order]
+        start = run_starts(to)
+        rows = {"to": [], "payload": [], "docs": []}
+        for a, b in zip(start, np.append(start[1:], len(to))):
+            first = run_starts(who[a:b])
+            k = who[a:b][first]
+            entry = np.empty(b - a, _ENTRY)
+            entry["h"], entry["df"] = h[a:b], df[a:b]
+            rows["to"].append(int(to[a]))
+            rows["payload"].append(pack(cls=cls[k], n=n[k].astype(np.uint32), count=np.diff(np.append(first, b - a)).astype(np.uint32), entry=entry))
+            rows["docs"].append(None)
+        for raw in table.column("docs").to_pylist():
+            if raw is not None:
+                rows["to"].append(-1)
+                rows["payload"].append(None)
+                rows["docs"].append(raw)
+        return pa.table({"to": pa.array(rows["to"], pa.int64()), "payload": pa.array(rows["payload"], pa.binary()), "docs": pa.array(rows["docs"], pa.binary())})
+    return run
 
 
 def _rows(percent: int):
-    """Joins a class's column parts; drops classes that have too many private columns to link."""
-    def run(batches):
-        for b in batches:
-            cls, size, raw, head = [], [], [], []
-            for c, n, parts in zip(*[b.column(k).to_pylist() for k in range(3)]):
-                got = [unpack(p, ["<u8", "<i4"]) for p in parts]
-                h, df = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-                need = n - int(least_common(n, percent)) + 1 - (n - len(h))
-                if need <= 0:
-                    continue
-                order = np.lexsort((h, df))[:need]
-                cls.append(c)
-                size.append(n)
-                raw.append(np.sort(h).tobytes())
-                head.append(h[order].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(size, pa.int64()), pa.array(raw, pa.binary()), pa.array(head, pa.binary())],
-                                             names=["cls", "n", "columns", "head"])
+    """Joins the column parts of each class; drops classes with too many private columns to link."""
+    def run(key, table):
+        got = [unpack(raw, ["<i8", "<u4", "<u4", _ENTRY]) for raw in table.column("payload").to_pylist()]
+        cls, first, back = np.unique(np.concatenate([g[0] for g in got]), return_index=True, return_inverse=True)
+        n = np.concatenate([g[1] for g in got])[first].astype(np.int64)
+        who = np.repeat(back, np.concatenate([g[2] for g in got]))
+        entry = np.concatenate([g[3] for g in got])
+        need = n - least_common(n, percent) + 1 - (n - np.bincount(who, minlength=len(cls)))
+        keep = need[who] > 0
+        who, h, df = who[keep], entry["h"][keep], entry["df"][keep]
+        order = np.lexsort((h, df, who))
+        who, h = who[order], h[order]
+        out = {"cls": [], "n": [], "columns": [], "head": []}
+        start = run_starts(who)
+        for a, b in zip(start.tolist(), np.append(start[1:], len(who)).tolist()):
+            k = int(who[a])
+            out["cls"].append(int(cls[k]))
+            out["n"].append(int(n[k]))
+            out["columns"].append(np.sort(h[a:b]).tobytes())
+            out["head"].append(h[a:a + int(need[k])].tobytes())
+        return pa.table({"cls": pa.array(out["cls"], pa.int64()), "n": pa.array(out["n"], pa.int64()),
+                         "columns": pa.array(out["columns"], pa.binary()), "head": pa.array(out["head"], pa.binary())})
     return run
 
 
+def _documents(batches):
+    for b in batches:
+        for raw in b.column(0).to_pylist():
+            ids, null, cls, n = unpack(raw, _DOCS)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(n.astype(np.int64)), pa.array(cls)],
+                                             names=["doc_id", "n", "cls"])
+
+
 def _head_blocks(blocks: int):
+    """First columns of all rows, by block."""
     def run(batches):
         for b in batches:
-            sets = [np.frombuffer(x, "<u8") for x in b.column(2).to_pylist()]
-            if sets:
-                ids, raw = _payload_rows(blocks, b.column(0).to_pylist(), b.column(1).to_pylist(), sets)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["block", "payload"])
+            heads = [mix(np.frombuffer(x, "<u8").copy()) for x in b.column(2).to_pylist()]
+            cls, size = b.column(0).to_numpy(), b.column(1).to_numpy()
+            at, who, h = _blocked(blocks, heads)
+            start = run_starts(at)
+            ids, raw = [], []
+            for a, e in zip(start, np.append(start[1:], len(at))):
+                first = run_starts(who[a:e])
+                k = who[a:e][first]
+                ids.append(int(at[a]))
+                raw.append(pack(cls=cls[k], n=size[k].astype(np.uint32), count=np.diff(np.append(first, e - a)).astype(np.uint32),
+                                low=(h[a:e] & np.uint64(0xFFFFFFFF)).astype(np.uint32), high=((h[a:e] >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["block", "payload"])
     return run
 
 
 def _neighbours(percent: int):
-    """Of a block of prefix columns: a forest of rows that share a column and fit in size."""
+    """Of a block of first columns: a forest of rows that share a column and fit in size."""
     def run(key, table):
-        cls, n, h = _gather(table)
-        order = np.lexsort((cls, n, h))
-        cls, n, h = cls[order], n[order], h[order]
-        pair = np.flatnonzero(_fits(n, h[1:] == h[:-1], percent) & (cls[1:] != cls[:-1])) if len(h) > 1 else np.zeros(0, np.int64)
-        return _forest_table(cls[pair], cls[pair + 1])
+        cls, n, who, h = _gather(table.column("payload").to_pylist())
+        who, h, pair = _partners(n, who, h, percent)
+        pair = np.flatnonzero(pair)
+        return _forest_table(cls[who[pair]], cls[who[pair + 1]])
     return run
 
 
@@ -294,66 +347,25 @@ def _products(percent: int):
 
 
 _EDGES = "u long, v long"
-_BLOCKED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("cls", T.LongType()),
-                         T.StructField("block", T.LongType()), T.StructField("payload", T.BinaryType())])
-
-
-def _first_pass(blocks: int, ngram: int, percent: int):
-    """One row per document and one payload of prefix hashes per slice and block."""
-    def run(batches):
-        for rows, data, offs in text_slices(batches, "text"):
-            sets = shingle_sets(data, offs, ngram)
-            cls, size = [class_key(x) for x in sets], [len(x) for x in sets]
-            one = {c: k for k, c in reversed(list(enumerate(cls))) if size[k]}     # a class once per slice
-            pick = sorted(one.values())
-            ids, raw = _payload_rows(blocks, [cls[k] for k in pick], [size[k] for k in pick],
-                                     [sets[k][:size[k] - int(least_common(size[k], percent)) + 1] for k in pick])
-            m, p = len(cls), len(ids)
-            none = pa.nulls(p, pa.int64())
-            yield pa.RecordBatch.from_arrays([
-                pa.concat_arrays([rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64()), none]),
-                pa.concat_arrays([pa.array(size, pa.int64()), none]), pa.concat_arrays([pa.array(cls, pa.int64()), none]),
-                pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(ids, pa.int64())]),
-                pa.concat_arrays([pa.nulls(m, pa.binary()), pa.array(raw, pa.binary())])], names=_BLOCKED.names)
-    return run
-
-
-def _second_pass(blocks: int, ngram: int):
-    """Payloads with all hashes of the classes asked for (a row whose set is another class's is passed over)."""
-    def run(batches):
-        for rows, data, offs in text_slices(batches, "text"):
-            want = rows.column(rows.schema.get_field_index("cls")).to_pylist()
-            sets = shingle_sets(data, offs, ngram)
-            pick = list({c: k for k, c in enumerate(want) if class_key(sets[k]) == c}.values())
-            ids, raw = _payload_rows(blocks, [want[k] for k in pick], [len(sets[k]) for k in pick], [sets[k] for k in pick])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["block", "payload"])
-    return run
-
 
 def jaccard_components(docs: DataFrame, text: str = "text", ngram: int = NGRAM, percent: int = PERCENT,
                        block_bytes: int = BLOCK_BYTES, tile: int = TILE) -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id`` for every row."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     blocks = n_blocks(text_bytes(src), block_bytes)
-    first = cut_lineage(src.mapInArrow(_first_pass(blocks, ngram, percent), _BLOCKED))
-    rows = first.filter("payload is null").select("doc_id", "n", "cls")
+    out = "to long, payload binary, docs binary"
+    first = src.mapInArrow(_incidence_pass(blocks, ngram), "block long, payload binary, docs binary") \
+        .groupBy("block").applyInArrow(_columns(blocks, percent), out)
+    first = cut_lineage(first)
+    rows = first.filter("to < 0").select("docs").mapInArrow(_documents, "doc_id long, n long, cls long")
     classes = rows.groupBy("cls", "n").agg(F.min("doc_id").alias("min_id"))
-    # 1. classes that share a prefix column with another class of fitting size
-    shared = first.filter("payload is not null").select("block", "payload").groupBy("block") \
-        .applyInArrow(_shared_classes(percent), "cls long").distinct()
-    active = cut_lineage(classes.join(shared, "cls").select("cls", F.col("min_id").alias("doc_id")))
-    # 2. all columns of these classes
-    chosen = src.join(active, F.coalesce(src.doc_id, F.lit(-(1 << 63))) == F.coalesce(active.doc_id, F.lit(-(1 << 63)))).select("cls", "text")
-    some = max(1, blocks // 2)
-    matrix = chosen.mapInArrow(_second_pass(some, ngram), "block long, payload binary").groupBy("block") \
-        .applyInArrow(_columns, "cls long, n long, part binary").groupBy("cls", "n").agg(F.collect_list("part").alias("parts")) \
-        .mapInArrow(_rows(percent), "cls long, n long, columns binary, head binary")
+    matrix = first.filter("to >= 0").select("to", "payload").groupBy("to") \
+        .applyInArrow(_rows(percent), "cls long, n long, columns binary, head binary")
     matrix = cut_lineage(matrix)
-    # 3. candidate groups
-    near = matrix.select("cls", "n", "head").mapInArrow(_head_blocks(some), "block long, payload binary").groupBy("block") \
+    near = matrix.select("cls", "n", "head").mapInArrow(_head_blocks(blocks), "block long, payload binary").groupBy("block") \
         .applyInArrow(_neighbours(percent), _EDGES)
     groups = cut_lineage(components(near))
-    # 4. products by group: whole groups in buckets, large ones in tiles by size class and salt
+    # products by group: whole groups in buckets, large ones in tiles by size class and salt
     member = groups.join(matrix.select("cls", "n"), groups.node == F.col("cls")).select("cls", "n", "root")
     step = float(np.log(100.0 / percent))
     member = member.withColumn("band", F.floor(F.log("n") / F.lit(step)).cast("long"))
