@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.domain import hotel_features
 from ..functions.labels import label_lookup, label_sql
-from ..functions.months import MONTHS_EN, month_lenient, month_lenient_sql, season
+from ..functions.months import month_lenient, month_lenient_sql, season
 from ..functions.scalar import argmax, clip, log1p_pos, prob_clip, to_numeric
 from ..functions.temporal import temporal_features
-from ..operators import stats
 from ..sources.bookings import bookings, with_bookings
 from .common import (BOOKING_STRING, LABELED_CTE, labeled, month_number, month_number_sql, r6)
 from .registry import register
@@ -252,9 +251,9 @@ def fn_prob_clip(spark, sf):
 @register("fn_argmax", with_bookings() + """
 SELECT row_id, CAST(list_position([stays_in_weekend_nights, stays_in_week_nights, previous_bookings_not_canceled],
        list_max([stays_in_weekend_nights, stays_in_week_nights, previous_bookings_not_canceled])) - 1 AS INTEGER) AS k
-FROM bookings WHERE stays_in_weekend_nights IS NOT NULL""", "2.2")
+FROM bookings""", "2.2")
 def fn_argmax(spark, sf):
-    b = bookings(spark, sf).where(F.col("stays_in_weekend_nights").isNotNull())
+    b = bookings(spark, sf)
     arr = F.array("stays_in_weekend_nights", "stays_in_week_nights", "previous_bookings_not_canceled")
     return b.select("row_id", argmax(arr).alias("k"))
 
@@ -372,6 +371,3 @@ def feat_hotel_base(spark, sf):
 def feat_hotel_missing_cols(spark, sf):
     """adr and lead_time absent: amounts default to 0, no lead_time_log."""
     return _hotel_spark(bookings(spark, sf).drop("adr", "lead_time"), True, True)
-
-
-_ = (stats, MONTHS_EN)
