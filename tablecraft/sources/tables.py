@@ -9,6 +9,7 @@ inference is a full extra pass over the file).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
@@ -17,18 +18,31 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return nan_to_null(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN is a missing value: null in every floating column."""
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    if not floats:
+        return df
+    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else F.col(c) for c in df.columns])
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             infer: bool = False) -> DataFrame:
-    """Header CSV scan.  Give ``schema`` on production paths."""
-    reader = spark.read.option("header", "true").option("mode", "PERMISSIVE")
+             infer: bool = False, mode: str = "FAILFAST") -> DataFrame:
+    """Header CSV scan.  Give ``schema`` on production paths.
+
+    A cell that does not fit its declared type is an error, never a silent null;
+    ``mode="DROPMALFORMED"`` or ``"PERMISSIVE"`` are for callers who ask for it.
+    Floating cells saying ``NaN`` are null.
+    """
+    reader = spark.read.option("header", "true").option("mode", mode)
     if schema is not None:
         reader = reader.schema(schema)
     elif infer:
         reader = reader.option("inferSchema", "true")
-    return reader.csv(path)
+    return nan_to_null(reader.csv(path))
 
 
 # Declared schema of the booking table (columns the reference names); any
