@@ -6,8 +6,8 @@ on partitioning, task retries or executor loss (``randomSplit`` does).
 Exact per-class ranks use a two-level scheme instead of one window per class
 (which would put a whole class, possibly a third of the table, in one task):
 rows are bucketed by the leading hex digits of their hash, bucket sizes are
-counted (map-side combined), prefix offsets are computed on that small table
-and broadcast, and ``row_number`` runs only within (class, bucket).
+counted (map-side combined), prefix offsets are a window over that small table,
+and ``row_number`` runs only within (class, bucket).
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from .joins import join_small
 
 ROWS_PER_BUCKET = 200_000
-MAX_DIGITS = 4        # at most 16**4 buckets per class in the offset table
 
 
 def hash_key(row_id: Column | str, seed: int | str) -> Column:
@@ -53,15 +52,10 @@ def hash_int_sql(key_sql: str) -> str:
     return f"CAST(('0x' || substr({key_sql}, 1, 15)) AS BIGINT)"
 
 
-def _digits_for(n: int | None) -> int:
-    """Hash-prefix digits: the offset table has at most min(n, groups*16**d)
-    rows, so the maximum is cheap on small inputs and bounds each (group,
-    bucket) window to n / 65536 rows on large ones."""
-    if n is None:
-        return MAX_DIGITS
-    if n <= ROWS_PER_BUCKET:
-        return 1
-    return max(1, min(MAX_DIGITS, math.ceil(math.log(n / ROWS_PER_BUCKET, 16))))
+def _digits_for(n: int) -> int:
+    """Leading hash digits so that a bucket holds about ``ROWS_PER_BUCKET`` rows
+    of a group even if the group is the whole table."""
+    return 1 if n <= ROWS_PER_BUCKET else math.ceil(math.log(n / ROWS_PER_BUCKET, 16))
 
 
 def exact_rank(df: DataFrame, part: Sequence[str], key: str, rank_col: str = "rank",
@@ -70,65 +64,21 @@ def exact_rank(df: DataFrame, part: Sequence[str], key: str, rank_col: str = "ra
 
     Equal to ``row_number() OVER (PARTITION BY part ORDER BY key)``.  With
     ``size_col`` the group size is added too (read off the offset table, no
-    extra pass).
+    extra pass).  The offset table has one row per (group, bucket), about
+    ``n_rows / ROWS_PER_BUCKET * 16`` at most; its join is left to the planner,
+    which broadcasts it only below the session's size threshold.
     """
     part = list(part)
-    # First pass at 2 hex digits (<= 256 buckets per group): cheap to collect,
-    # and it yields the group sizes.  Only when a bucket would hold more than
-    # ROWS_PER_BUCKET rows is a finer bucketing (up to 4 digits) counted.
-    d = _digits_for(n_rows) if n_rows is not None else 2
-
-    def bucket_sizes(dd):
-        bb = df.withColumn("_bkt", F.substring(F.col(key), 1, dd))
-        ss = bb.groupBy(*part, "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
-        return bb, ss, ss.limit(OFFSETS_ON_DRIVER + 1).collect()
-
-    b, sizes, got = bucket_sizes(d)
-    if n_rows is None and got and max(r["_bn"] for r in got) > ROWS_PER_BUCKET and d < MAX_DIGITS:
-        b, sizes, got = bucket_sizes(MAX_DIGITS)
-    # bucket sizes: at most (#groups x 16**d) rows whatever the table size.
-    # Below OFFSETS_ON_DRIVER rows the prefix offsets are computed on the
-    # driver and broadcast (no extra shuffle); above, by a window.
-    if len(got) <= OFFSETS_ON_DRIVER:
-        offsets = _driver_offsets(df.sparkSession, got, part, df.schema, size_col)
-        j = b.join(F.broadcast(offsets), [*part, "_bkt"], "inner")
-    else:
-        w = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-        extra = [F.sum("_bn").over(Window.partitionBy(*part)).alias(size_col)] if size_col else []
-        offsets = sizes.select(*part, "_bkt", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_off"),
-                               *extra)
-        j = join_small(b, offsets, [*part, "_bkt"], how="inner", state_rows=len(got))
+    d = _digits_for(df.count() if n_rows is None else n_rows)
+    b = df.withColumn("_bkt", F.substring(F.col(key), 1, d))
+    sizes = b.groupBy(*part, "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
+    group = Window.partitionBy(*part)
+    before = group.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.sum("_bn").over(group).alias(size_col)] if size_col else []
+    offsets = sizes.select(*part, "_bkt", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"), *extra)
     wr = Window.partitionBy(*part, "_bkt").orderBy(key)
-    return j.withColumn(rank_col, (F.col("_off") + F.row_number().over(wr)).cast("bigint")) \
-            .drop("_bkt", "_off")
-
-
-OFFSETS_ON_DRIVER = 300_000
-
-
-def _driver_offsets(spark, rows, part, schema, size_col):
-    groups: dict = {}
-    for r in rows:
-        groups.setdefault(tuple(r[p] for p in part), []).append((r["_bkt"], r["_bn"]))
-    out = []
-    for g, bs in groups.items():
-        bs.sort()
-        total = sum(n for _, n in bs)
-        acc = 0
-        for bkt, n in bs:
-            out.append((*g, bkt, acc) + ((total,) if size_col else ()))
-            acc += n
-    fields = [schema[p] for p in part]
-    from pyspark.sql import types as T
-    st = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields] +
-                      [T.StructField("_bkt", T.StringType()), T.StructField("_off", T.LongType())] +
-                      ([T.StructField(size_col, T.LongType())] if size_col else []))
-    return spark.createDataFrame(out, st)
-
-
-def with_class_sizes(df: DataFrame, label: str, n_col: str = "_n_c") -> DataFrame:
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias(n_col))
-    return join_small(df, sizes, [label], how="inner", state_rows=1024)
+    return b.join(offsets, [*part, "_bkt"], "inner") \
+        .withColumn(rank_col, (F.col("_off") + F.row_number().over(wr)).cast("bigint")).drop("_bkt", "_off")
 
 
 def stratified_split(df: DataFrame, label: str = "label", test_pct: int = 20, seed: int = 42,
@@ -209,7 +159,7 @@ def balanced_weight(df: DataFrame, label: str = "label", out: str = "weight",
     tab = counts.select(label, (F.sum("_n_c").over(w) /
                                 ((F.lit(n_classes) if n_classes else F.count(F.lit(1)).over(w))
                                  * F.col("_n_c"))).alias(out))
-    return join_small(df, tab, [label], how="left", state_rows=1024)
+    return join_small(df, tab, [label], how="left")
 
 
 def alpha_weight(df: DataFrame, alpha: float, label: str = "label", weight: str = "weight",
