@@ -6,9 +6,9 @@ per (column, category) kept as a DataFrame.  Nothing pulls rows to the driver.
 Exact quantiles are computed without sorting a column in one task: an
 approximate sketch (bounded memory, partial aggregation) brackets every target
 rank, a second pass counts rows below each bracket, and a third pass histograms
-only the rows inside the brackets.  Brackets that are still too wide are
+only the rows inside the brackets.  Brackets with too many distinct values are
 narrowed again inside themselves, so the collected histogram stays bounded
-whatever the table size.
+whatever the table size; a bracket of one value needs no histogram.
 """
 
 from __future__ import annotations
@@ -72,8 +72,8 @@ def column_profile(df: DataFrame, cols: Sequence[str]) -> dict[str, dict]:
 # --------------------------------------------------------------------------
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    accuracy: int = 10_000, max_bracket_rows: int = 100_000,
-                    max_rounds: int = 6, counts: dict[str, int] | None = None
+                    accuracy: int = 10_000, max_bracket_values: int = 100_000,
+                    counts: dict[str, int] | None = None
                     ) -> dict[str, list[float | None]]:
     """Exact quantiles per column, equal to ``percentile`` / ``quantile_cont``.
 
@@ -100,13 +100,12 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             k0 = int(math.floor(h))
             k1 = min(k0 + 1, n[c] - 1)
             targets.append({"col": c, "p": p, "h": h, "k0": k0, "k1": k1,
-                            "lo": None, "hi": None, "below": 0, "inside": n[c]})
+                            "lo": None, "hi": None, "below": 0, "inside": n[c], "values": n[c]})
 
     eps = 1.0 / accuracy
-    for _ in range(max_rounds):
-        wide = [t for t in targets if t["inside"] > max_bracket_rows]
-        if not wide:
-            break
+    # every round leaves a bracket about 4 * eps of its rows, or fewer values than
+    # the bound if ties hold them together
+    while wide := [t for t in targets if t["values"] > max_bracket_values]:
         # sketch inside the current bracket; the target ranks are re-expressed
         # relative to the bracket
         aggs = []
@@ -126,11 +125,11 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         for t in wide:
             if not (t["below"] <= t["k0"] and t["below"] + t["inside"] > t["k1"]):
                 # sketch bound violated: fall back to the full column range
-                t["lo"], t["hi"], t["below"], t["inside"] = None, None, 0, n[t["col"]]
+                t["lo"], t["hi"], t["below"], t["inside"], t["values"] = None, None, 0, n[t["col"]], n[t["col"]]
                 accuracy *= 4
                 eps = 1.0 / accuracy
 
-    hist = _bracket_histograms(df, xs, targets)
+    hist = _bracket_histograms(df, xs, [t for t in targets if t["lo"] is None or t["lo"] != t["hi"]])
     out: dict[str, list] = {c: [] for c in cols}
     by_key = {(t["col"], t["p"]): t for t in targets}
     for c in cols:
@@ -139,6 +138,9 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             if t is None:
                 out[c].append(None)
                 continue
+            if id(t) not in hist:       # the bracket is one value
+                out[c].append(t["lo"])
+                continue
             values = hist[id(t)]
             v0 = _value_at(values, t["k0"] - t["below"])
             v1 = _value_at(values, t["k1"] - t["below"])
@@ -162,10 +164,12 @@ def _count_brackets(df: DataFrame, xs, ts) -> None:
         x = xs[t["col"]]
         below = (x < F.lit(t["lo"])) if t["lo"] is not None else F.lit(False)
         aggs += [F.count_if(below).alias(f"b{i}"),
-                 F.count_if(_in_bracket(x, t["lo"], t["hi"])).alias(f"i{i}")]
+                 F.count_if(_in_bracket(x, t["lo"], t["hi"])).alias(f"i{i}"),
+                 F.approx_count_distinct(F.when(_in_bracket(x, t["lo"], t["hi"]), x)).alias(f"d{i}")]
     r = df.agg(*aggs).first()
     for i, t in enumerate(ts):
         t["below"], t["inside"] = r[f"b{i}"], r[f"i{i}"]
+        t["values"] = 1 if t["lo"] == t["hi"] else min(r[f"d{i}"], r[f"i{i}"])
 
 
 def _bracket_histograms(df: DataFrame, xs, ts) -> dict[int, list[tuple[float, int]]]:

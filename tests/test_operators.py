@@ -14,7 +14,7 @@ def test_exact_quantiles_match_numpy(spark):
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
     probs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
     # force the narrowing path with a tiny bracket budget
-    got = stats.exact_quantiles(df, ["x"], probs, accuracy=100, max_bracket_rows=50)["x"]
+    got = stats.exact_quantiles(df, ["x"], probs, accuracy=100, max_bracket_values=50)["x"]
     want = np.quantile(x, probs)  # linear interpolation
     assert np.allclose(got, want, rtol=0, atol=1e-12)
 

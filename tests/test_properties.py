@@ -13,7 +13,7 @@ from tablecraft.operators import stats
 def test_exact_quantile_property(spark, values, p, budget):
     x = [float(v) / 7.0 for v in values]  # ties and negatives
     df = spark.createDataFrame([(v,) for v in x], "x double")
-    got = stats.exact_quantiles(df, ["x"], [p], accuracy=50, max_bracket_rows=budget)["x"][0]
+    got = stats.exact_quantiles(df, ["x"], [p], accuracy=50, max_bracket_values=budget)["x"][0]
     want = float(np.quantile(np.array(x), p))
     assert abs(got - want) <= 1e-9 * max(1.0, abs(want))
 
