@@ -19,25 +19,22 @@ def confusion(df: DataFrame, y: str = "label", yhat: str = "prediction") -> Data
 
 def per_class_f1(df: DataFrame, y: str = "label", yhat: str = "prediction") -> DataFrame:
     """(class, support, predicted, tp, f1); a class never predicted has f1 0."""
-    cm = confusion(df, y, yhat)
-    sup = cm.groupBy(F.col("y").alias("class")).agg(F.sum("n").alias("support"))
-    pred = cm.groupBy(F.col("yhat").alias("class")).agg(F.sum("n").alias("predicted"))
-    tp = cm.where(F.col("y") == F.col("yhat")).select(F.col("y").alias("class"), F.col("n").alias("tp"))
-    t = (sup.join(pred, "class", "full").join(tp, "class", "left")
-         .na.fill(0, ["support", "predicted", "tp"]))
-    return t.withColumn("f1", F.when(F.col("tp") > 0, 2.0 * F.col("tp") /
-                                     (F.col("support") + F.col("predicted"))).otherwise(0.0))
+    return per_class_f1_grouped(df, y, yhat, [])
 
 
 def per_class_f1_grouped(df: DataFrame, y: str, yhat: str, groups: list[str]) -> DataFrame:
-    """per_class_f1 within each group (e.g. per fold), in one pass."""
-    g = [F.col(c) for c in groups]
-    cm = df.groupBy(*g, F.col(y).alias("y"), F.col(yhat).alias("yhat")).agg(F.count(F.lit(1)).alias("n"))
-    sup = cm.groupBy(*groups, F.col("y").alias("class")).agg(F.sum("n").alias("support"))
-    pred = cm.groupBy(*groups, F.col("yhat").alias("class")).agg(F.sum("n").alias("predicted"))
-    tp = cm.where(F.col("y") == F.col("yhat")).select(*groups, F.col("y").alias("class"), F.col("n").alias("tp"))
-    t = (sup.join(pred, [*groups, "class"], "full").join(tp, [*groups, "class"], "left")
-         .na.fill(0, ["support", "predicted", "tp"]))
+    """per_class_f1 within each group (e.g. per fold).
+
+    One scan: each confusion count adds to its true class's support and to its
+    predicted class's row, so both sides come out of one small aggregate.
+    """
+    n, zero = F.col("n"), F.lit(0).cast("long")
+    cm = df.groupBy(*groups, F.col(y).alias("y"), F.col(yhat).alias("yhat")).agg(F.count(F.lit(1)).alias("n"))
+    hit = F.when(F.col("y") == F.col("yhat"), n).otherwise(zero)
+    sides = F.array(F.struct(F.col("y").alias("class"), n.alias("support"), zero.alias("predicted"), hit.alias("tp")),
+                    F.struct(F.col("yhat").alias("class"), zero.alias("support"), n.alias("predicted"), zero.alias("tp")))
+    t = cm.select(*groups, F.explode(sides).alias("s")).select(*groups, "s.*") \
+        .groupBy(*groups, "class").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
     return t.withColumn("f1", F.when(F.col("tp") > 0, 2.0 * F.col("tp") /
                                      (F.col("support") + F.col("predicted"))).otherwise(0.0))
 
@@ -67,9 +64,3 @@ def summary(scores: DataFrame, value: str = "v") -> DataFrame:
     """Mean and population std of per-fold scores."""
     return scores.agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
 
-
-def metrics(df: DataFrame, probs: str = "probability", label: str = "label",
-            pred: str = "prediction") -> dict[str, float]:
-    """log_loss and f1_weighted of a scored frame holding an array of class probs."""
-    ll = log_loss_df(df.withColumn("_pt", p_true_from_array(probs, label)), "_pt").first()[0]
-    return {"log_loss": ll, "f1_weighted": f1_weighted(df, label, pred)}
