@@ -22,6 +22,7 @@ gradient, so an accepted full step costs no extra job.
 from __future__ import annotations
 
 import io
+import warnings
 from dataclasses import dataclass, field
 from typing import Iterator, Sequence
 
@@ -64,7 +65,7 @@ def tree_sum(parts: DataFrame, fanin: int = 16) -> np.ndarray | None:
     return total
 
 
-def _partials(df: DataFrame, feat: str, label: str, weight: str | None, fn, out_len: int) -> DataFrame:
+def _partials(df: DataFrame, feat: str, label: str, weight: str | None, fn) -> DataFrame:
     cols = [feat, label] + ([weight] if weight else [])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,6 +89,7 @@ class LinearSVMModel:
     W: np.ndarray
     classes: list[int]
     history: list[float] = field(default_factory=list)
+    converged: bool = True
 
     def decision_columns(self, feat: str = "features") -> list:
         """One decision value per class as a native expression (no UDF):
@@ -156,7 +158,7 @@ def loss_grad_at(df: DataFrame, W: np.ndarray, classes: Sequence[int], C: float,
     k, d = W.shape
     cw = np.asarray(class_weight if class_weight is not None else [1.0] * k) * C
     fn = _sqhinge_stats(W, list(classes), cw, C, True)
-    tot = tree_sum(_partials(df, feat, label, weight, fn, 0))
+    tot = tree_sum(_partials(df, feat, label, weight, fn))
     f = tot[:k] + 0.5 * np.sum(W ** 2, axis=1)
     g = tot[k:k + k * d].reshape(k, d) + W
     return f, g
@@ -178,7 +180,7 @@ def fit_sqhinge_l2(df: DataFrame, n_features: int, classes: Sequence[int], C: fl
 
     def stats_at(Wc, steps=(), D=None):
         fn = _sqhinge_stats(Wc, classes, cw, C, True, steps, D)
-        tot = tree_sum(_partials(df, feat, label, weight, fn, 0))
+        tot = tree_sum(_partials(df, feat, label, weight, fn))
         f = tot[:k] + 0.5 * np.sum(Wc ** 2, axis=1)
         g = tot[k:k + k * d].reshape(k, d) + Wc
         H = tot[k + k * d:k + k * d + k * d * d].reshape(k, d, d) + np.eye(d)[None]
@@ -187,9 +189,10 @@ def fit_sqhinge_l2(df: DataFrame, n_features: int, classes: Sequence[int], C: fl
 
     f, g, H, _ = stats_at(W)
     g0 = np.maximum(np.linalg.norm(g, axis=1), 1e-12)
+    stalled = np.zeros(k, bool)     # no step along the Newton direction lowers the objective
     for _ in range(max_iter):
         hist.append(float(f.sum()))
-        active = np.linalg.norm(g, axis=1) > tol * g0
+        active = (np.linalg.norm(g, axis=1) > tol * g0) & ~stalled
         if not active.any():
             break
         D = np.zeros_like(W)
@@ -216,13 +219,19 @@ def fit_sqhinge_l2(df: DataFrame, n_features: int, classes: Sequence[int], C: fl
                     Wn[j] = wn
                     break
             else:
-                Wn[j] = W[j] + short[-1] * D[j]
+                stalled[j] = True
         W = Wn
         if accepted_full:
             f, g, H = f1, g1, H1
         else:
             f, g, H, _ = stats_at(W)
-    return LinearSVMModel(W, classes, hist)
+    return _reported(LinearSVMModel(W, classes, hist, bool((np.linalg.norm(g, axis=1) <= tol * g0).all())), max_iter)
+
+
+def _reported(model: LinearSVMModel, max_iter: int) -> LinearSVMModel:
+    if not model.converged:
+        warnings.warn(f"SVM fit stopped before its tolerance (at most {max_iter} iterations)", RuntimeWarning, stacklevel=3)
+    return model
 
 
 def _l1_newton_direction(w: np.ndarray, g: np.ndarray, H: np.ndarray, sweeps: int = 50,
@@ -264,7 +273,7 @@ def fit_sqhinge_l1(df: DataFrame, n_features: int, classes: Sequence[int], C: fl
 
     def stats_at(Wc, steps=(), D=None):
         fn = _sqhinge_stats(Wc, classes, cw, C, True, steps, D)
-        tot = tree_sum(_partials(df, feat, label, None, fn, 0))
+        tot = tree_sum(_partials(df, feat, label, None, fn))
         f = tot[:k]
         g = tot[k:k + k * d].reshape(k, d)
         H = tot[k + k * d:k + k * d + k * d * d].reshape(k, d, d)
@@ -273,10 +282,15 @@ def fit_sqhinge_l1(df: DataFrame, n_features: int, classes: Sequence[int], C: fl
 
     f, g, H, _ = stats_at(W)
     F_cur = f + np.abs(W).sum(axis=1)
+    stalled, converged = np.zeros(k, bool), False
     for _ in range(max_iter):
         hist.append(float(F_cur.sum()))
         D = np.stack([_l1_newton_direction(W[j], g[j], H[j]) for j in range(k)])
         if np.max(np.abs(D)) <= tol * max(1.0, np.max(np.abs(W))):
+            converged = True
+            break
+        D[stalled] = 0.0
+        if stalled.all():
             break
         short = STEPS[1:]
         f1, g1, H1, fst = stats_at(W + D, tuple(s_ - 1.0 for s_ in short), D)
@@ -288,19 +302,20 @@ def fit_sqhinge_l1(df: DataFrame, n_features: int, classes: Sequence[int], C: fl
                 Wn[j] = W[j] + D[j]
                 continue
             all_full = False
-            Wn[j] = W[j] + short[-1] * D[j]
             for si, s_ in enumerate(short):
                 wn = W[j] + s_ * D[j]
                 if fst[j, si] + np.abs(wn).sum() <= F_cur[j] + 0.01 * s_ * delta:
                     Wn[j] = wn
                     break
+            else:
+                stalled[j] = True
         W = Wn
         if all_full:
             f, g, H = f1, g1, H1
         else:
             f, g, H, _ = stats_at(W)
         F_cur = f + np.abs(W).sum(axis=1)
-    return LinearSVMModel(W, classes, hist)
+    return _reported(LinearSVMModel(W, classes, hist, converged), max_iter)
 
 
 def balanced_class_weights(df: DataFrame, label: str, classes: Sequence[int],

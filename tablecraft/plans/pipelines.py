@@ -14,12 +14,10 @@ the first best candidate wins), then the winner is refitted on all rows.
 
 from __future__ import annotations
 
-import math
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field, replace
-from typing import Callable, Sequence
+from dataclasses import dataclass, replace
+from typing import Sequence
 
-import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -160,7 +158,7 @@ def fit_classifier(feats: DataFrame, n_features: int, clf: Clf, label: str = "la
 
 
 class _OvRHinge:
-    """Spark ML LinearSVC (hinge, L2) one-vs-rest; regParam = 1 / (C n)."""
+    """Spark ML LinearSVC (hinge, L2) one-vs-rest; regParam = 1 / (C * sum of weights)."""
 
     def __init__(self, models, classes):
         self.models, self.classes = models, classes
@@ -180,12 +178,18 @@ class _OvRHinge:
 def _fit_hinge_ovr(feats: DataFrame, clf: Clf):
     from pyspark.ml.classification import LinearSVC
     from pyspark.ml.functions import array_to_vector
-    n = feats.count()
+    counts = {r["label"]: r["count"] for r in feats.groupBy("label").count().collect()}   # one row per class
+    n, k = sum(counts.values()), sum(1 for c in CLASSES if counts.get(c))
     x = feats.withColumn("_v", array_to_vector("features"))
 
     def fit_one(c):
-        y = x.withColumn("_y", (F.col("label") == c).cast("double"))
-        return LinearSVC(featuresCol="_v", labelCol="_y", regParam=1.0 / (clf.C * n), maxIter=100,
+        # a class weight raises the class's own side only, as in the one-vs-rest reduction
+        n_c = counts.get(c, 0)
+        w = (n / (k * n_c) if clf.balanced and n_c else 1.0) * (clf.alpha if c == 2 and clf.balanced else 1.0)
+        y = x.withColumn("_y", (F.col("label") == c).cast("double")) \
+             .withColumn("_w", F.when(F.col("label") == c, F.lit(float(w))).otherwise(F.lit(1.0)))
+        total = w * n_c + (n - n_c)
+        return LinearSVC(featuresCol="_v", labelCol="_y", weightCol="_w", regParam=1.0 / (clf.C * total), maxIter=2000,
                          tol=1e-3, standardization=False).fit(y)
 
     with ThreadPoolExecutor(max_workers=len(CLASSES)) as ex:   # independent binary fits
@@ -334,6 +338,3 @@ def run_model(name: str, labeled_train: DataFrame, test: DataFrame) -> tuple[Dat
             info["scores_b"] = scores_b
     info["best"] = best
     return fit_and_predict(labeled_train, test, best), info
-
-
-_ = (math, np, field, Callable)
