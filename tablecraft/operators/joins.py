@@ -32,10 +32,3 @@ def join_small(df: DataFrame, state: DataFrame, on: str | Sequence[str] | object
     right = F.broadcast(state) if state_rows <= max_broadcast_rows else state
     return df.join(right, on, how)
 
-
-def hconcat_on_key(frames: Sequence[DataFrame], key: str = "row_id") -> DataFrame:
-    """Side-by-side concatenation by key (never by row order)."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.join(f, key, "inner")
-    return out

@@ -324,9 +324,6 @@ def fit_meta_learner(spark, sf):
     return _scored(meta, x.drop("is_valid"))
 
 
-_ = (r6,)
-
-
 @register("ens_stack_score", None, "2.11")
 def ens_stack_score(spark, sf):
     """Held-out stacking score: meta learner fitted on the out-of-fold matrix,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import stats
 from ..operators.transforms import (ImputeMedian, ImputeMode, OneHot, Scaler, SkewClipLog,
@@ -362,6 +361,3 @@ def tx_target_encode(spark, sf):
 @register("join_encode_left", te_sql(["country"]), "2.7")
 def join_encode_left(spark, sf):
     return te_spark(spark, sf, ["country"])
-
-
-_ = (T, STR)

@@ -18,7 +18,6 @@ exactly-once output across executor or driver restarts.
 
 from __future__ import annotations
 
-import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -109,6 +108,3 @@ def stream_ewa(spark: SparkSession, arrivals: DataFrame, state: TargetEncodeStat
     w = Window.partitionBy()
     u = cum.withColumn("_u", F.exp(-eta * (F.col("cum_loss") - F.min("cum_loss").over(w))))
     return u.select("expert", "cum_loss", (F.col("_u") / F.sum("_u").over(w)).alias("weight"))
-
-
-_ = math

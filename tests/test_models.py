@@ -1,7 +1,6 @@
 """Model fits: objective decreases, gradient equals brute force, skill on a
 derived learnable label."""
 import numpy as np
-from pyspark.sql import functions as F
 
 from tablecraft.operators import linear
 
