@@ -249,9 +249,8 @@ def fn_prob_clip(spark, sf):
 
 
 @register("fn_argmax", with_bookings() + """
-SELECT row_id, CAST(list_position([stays_in_weekend_nights, stays_in_week_nights, previous_bookings_not_canceled],
-       list_max([stays_in_weekend_nights, stays_in_week_nights, previous_bookings_not_canceled])) - 1 AS INTEGER) AS k
-FROM bookings""", "2.2")
+SELECT row_id, CASE WHEN list_max(a) IS NOT NULL THEN CAST(list_position(a, list_max(a)) - 1 AS INTEGER) END AS k
+FROM (SELECT row_id, [stays_in_weekend_nights, stays_in_week_nights, previous_bookings_not_canceled] AS a FROM bookings)""", "2.2")
 def fn_argmax(spark, sf):
     b = bookings(spark, sf)
     arr = F.array("stays_in_weekend_nights", "stays_in_week_nights", "previous_bookings_not_canceled")
