@@ -10,6 +10,7 @@ number follows the bytes of the input.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,17 +77,40 @@ class Forest:
         return np.array([self.find(x) for x in range(len(self.up))], np.int64)
 
 
+LOCAL_EDGES = 250_000       # 4 MB of edges: one task may hold them
+
+
+def _united(batches):
+    """``node, root`` of all edges of the task, by union-find."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not got:
+        return
+    nodes, idx = np.unique(np.concatenate([x for pair in got for x in pair]), return_inverse=True)
+    order = np.concatenate([np.full(len(x), k % 2) for k, x in enumerate(x for pair in got for x in pair)])
+    forest = Forest(len(nodes))
+    for a, b in zip(idx[order == 0].tolist(), idx[order == 1].tolist()):
+        forest.join(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[forest.roots()])], names=["node", "root"])
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """``node, root`` for every node with an edge; the root is the smallest node reachable.
 
-    Alternating stars: each round hooks the larger neighbours of a node, then
-    its smaller ones, to the smallest node seen around it.  Minima are partial
-    aggregates and come back by joins, so no neighbourhood is gathered.  The
-    rounds end when the edges are stars and no longer change.
+    Counted edges up to ``LOCAL_EDGES`` are united in one task.  Beyond, alternating
+    stars: each round hooks the larger neighbours of a node, then its smaller ones, to
+    the smallest node seen around it.  Minima are partial aggregates and come back by
+    joins, so no neighbourhood is gathered.  The rounds end when the edges are stars
+    and no longer change.
     """
-    e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u <> v") \
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, before = cut_lineage(e), None
+    e = cut_lineage(edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).filter("u <> v"))
+    if e.count() <= LOCAL_EDGES:
+        return e.coalesce(1).mapInArrow(_united, "node long, root long")
+    return star_components(e)
+
+
+def star_components(e: DataFrame) -> DataFrame:
+    """Components of any number of edges by alternating stars."""
+    e, before = cut_lineage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
