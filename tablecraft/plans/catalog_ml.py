@@ -10,8 +10,10 @@ from ..operators import ensemble, metrics
 from ..operators.sampling import (alpha_weight, balanced_weight, hash_int_sql, hash_key, hash_key_sql,
                                   hash_unit, oversample, random_split, stratified_kfold,
                                   stratified_split)
+from ..operators.transforms import TargetEncoder
 from ..sources.bookings import with_bookings
 from ..sources.tables import read_table
+from ..streaming.online import expert_probs_projection
 from . import sqlgen
 from .common import LABELED_CTE, labeled, reuse, split_sql
 from .experts import CLASSES, expert_long, expert_long_sql, oof_sql, oof_target_encode
@@ -286,6 +288,11 @@ def _metrics_frame(avg: DataFrame, hold: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("class") == F.col("label"), F.col("p"))).alias("p_true"))
     scored = per_row.select("label", (-F.col("b.nc")).cast("int").alias("prediction"),
                             (-F.log(F.least(F.greatest("p_true", F.lit(1e-15)), F.lit(1 - 1e-15)))).alias("loss"))
+    return _confusion_metrics(scored)
+
+
+def _confusion_metrics(scored: DataFrame) -> DataFrame:
+    """One row (n_test, log_loss, f1_weighted) from (label, prediction, loss) rows."""
     cm = scored.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"), F.sum("loss").alias("ls"))
     n = F.sum("n")
     f1 = None
@@ -387,10 +394,12 @@ def te_expert_holdout_metrics(spark, sf):
     smoothed target-encoding experts fitted on train, uniform aggregation on
     the validation part, argmax, log-loss and weighted F1."""
     sp = reuse(stratified_split(reuse(labeled(spark, sf)), "label", 20, 42))
-    train, val = sp.where(~F.col("is_val")), sp.where("is_val")
-    long = expert_long(train, val, TE_COLS)
-    avg = ensemble.weighted_average(long, ensemble.uniform_weights(long))
-    return _metrics_frame(avg, val)
+    state = TargetEncoder(TE_COLS, "label", CLASSES).fit(sp.where(~F.col("is_val")))
+    # the experts of a row stand side by side: average, argmax and loss are one projection
+    scored = expert_probs_projection(sp.where("is_val").select("row_id", "label", *TE_COLS), state, "label")
+    p_true = F.element_at(F.array(*[F.col(f"p_{j}") for j in CLASSES]), F.col("label") + 1)
+    loss = -F.log(F.least(F.greatest(p_true, F.lit(1e-15)), F.lit(1 - 1e-15)))
+    return _confusion_metrics(scored.select("label", "prediction", loss.alias("loss")))
 
 
 # --------------------------------------------------------------------------
@@ -418,7 +427,6 @@ def stream_score_q(spark, sf):
     """Validation bookings arrive as a file stream (4 micro-batches), are
     enriched by stream-static joins with the encodings fitted on the train
     part and scored; equals the batch scoring of the same rows."""
-    from ..operators.transforms import TargetEncoder
     from ..streaming.online import stream_score
     sp = reuse(stratified_split(reuse(labeled(spark, sf)), "label", 20, 42))
     st = TargetEncoder(TE_COLS, "label").fit(sp.where(~F.col("is_val")))
@@ -433,7 +441,6 @@ SELECT expert, round(cum_loss, 6) AS cum_loss, round(u / sum(u) OVER (), 6) AS w
 def stream_ewa_q(spark, sf):
     """EWA weights maintained by a foreachBatch stream over the labelled online
     arrivals; equals the batch EWA weights."""
-    from ..operators.transforms import TargetEncoder
     from ..streaming.online import stream_ewa
     train, hold = holdout_frames(spark, sf)
     st = TargetEncoder(TE_COLS, "label").fit(train)

@@ -278,6 +278,15 @@ BASES = {
 }
 
 
+def _base_scores(models: dict, frame: DataFrame, clip: bool = False) -> DataFrame:
+    """The frame's keys with ``{model}_class{i}`` columns, all models scored on one frame."""
+    keys = [c for c in frame.columns if c != "features"]
+    for name, m in models.items():
+        frame = m.with_probability(frame, f"_{name}")
+    prob = (lambda c: F.least(F.greatest(c, F.lit(1e-15)), F.lit(1 - 1e-15))) if clip else (lambda c: c)
+    return frame.select(*keys, *[prob(F.col(f"_{name}")[j]).alias(f"{name}_class{j}") for name in models for j in CLASSES])
+
+
 def _oof_matrix(spark, sf):
     """Per fold: encodings + scaler fitted on the fold's train part, every base
     model fitted there and scored on the held-out fold; stacked by row_id."""
@@ -291,15 +300,7 @@ def _oof_matrix(spark, sf):
         fe = NBFeatures(fit_rows, te_cols, oh_cols)
         ftr = fe.apply(fit_rows).persist(StorageLevel.MEMORY_AND_DISK)
         fho = fe.apply(held)
-        cols = []
-        for name, fit in BASES.items():
-            s = fit(ftr).transform(fho).select(
-                "row_id", *[F.col("probability")[j].alias(f"{name}_class{j}") for j in CLASSES])
-            cols.append(s)
-        m = cols[0]
-        for c in cols[1:]:
-            m = m.join(c, "row_id")
-        parts.append(m.join(held.select("row_id", "label", "fold"), "row_id"))
+        parts.append(_base_scores({name: fit(ftr) for name, fit in BASES.items()}, fho, clip=True))
     oof = parts[0]
     for p in parts[1:]:
         oof = oof.unionByName(p)
@@ -341,12 +342,6 @@ def ens_stack_score(spark, sf):
     fe = NBFeatures(tr, te_cols, oh_cols)
     ftr = fe.apply(tr).persist(StorageLevel.MEMORY_AND_DISK)
     fte = fe.apply(test)
-    cols = []
-    for name, fit in BASES.items():
-        cols.append(fit(ftr).transform(fte).select(
-            "row_id", *[F.col("probability")[j].alias(f"{name}_class{j}") for j in CLASSES]))
-    m = cols[0]
-    for c in cols[1:]:
-        m = m.join(c, "row_id")
+    m = _base_scores({name: fit(ftr) for name, fit in BASES.items()}, fte)
     z = m.select("row_id", F.array(*feats).alias("features"))
     return _scored(meta, z)

@@ -33,14 +33,20 @@ def stream_dirs(spark: SparkSession, name: str) -> dict[str, str]:
     return {"in": f"{base}/in", "out": f"{base}/out", "chk": f"{base}/chk", "state": f"{base}/state"}
 
 
-def land_files(df: DataFrame, path: str, n_files: int = 4) -> None:
-    """Write rows as ``n_files`` parquet files, the arrivals of a file source."""
-    df.repartition(n_files).write.mode("overwrite").parquet(path)
+ROWS_PER_FILE = 1_000_000
 
 
-def expert_probs_projection(df: DataFrame, state: TargetEncodeState) -> DataFrame:
+def land_files(df: DataFrame, path: str, least_files: int = 4) -> None:
+    """Write rows as parquet files, the arrivals of a file source: as many files
+    as the rows need at ``ROWS_PER_FILE``, and a few at least."""
+    n = max(least_files, -(-df.count() // ROWS_PER_FILE))
+    df.repartition(n).write.mode("overwrite").parquet(path)
+
+
+def expert_probs_projection(df: DataFrame, state: TargetEncodeState, *keep: str) -> DataFrame:
     """Uniform average of the prior and the per-column encodings as columns
-    p_0.. plus argmax ``prediction``; projection only (stream friendly)."""
+    p_0.. plus argmax ``prediction`` (and ``keep`` columns); projection only
+    (stream friendly)."""
     enc = state.apply(df, keep=False)
     cls = state.classes
     n_exp = 1 + len(state.columns)
@@ -48,7 +54,7 @@ def expert_probs_projection(df: DataFrame, state: TargetEncodeState) -> DataFram
              for j in cls]
     arr = F.array(*probs)
     idx = F.array_position(arr, F.array_max(arr)).cast("int")
-    return enc.select("row_id", *[p.alias(f"p_{j}") for j, p in zip(cls, probs)],
+    return enc.select("row_id", *keep, *[p.alias(f"p_{j}") for j, p in zip(cls, probs)],
                       F.element_at(F.array(*[F.lit(j) for j in cls]), idx).cast("int").alias("prediction"))
 
 
@@ -92,9 +98,11 @@ def stream_ewa(spark: SparkSession, arrivals: DataFrame, state: TargetEncodeStat
     experts = [("prior", [F.lit(state.prior[j]) for j in state.classes])] + \
               [(f"te_{c}", [F.col(f"{c}_{j}") for j in state.classes]) for c in state.columns]
     p_true = [F.element_at(F.array(*ps), F.col("label") + 1) for _, ps in experts]
-    losses = enc.select(*[(-F.log(F.least(F.greatest(p, F.lit(PROB_EPS)), F.lit(1 - PROB_EPS))))
+    losses = enc.select("row_id", *[(-F.log(F.least(F.greatest(p, F.lit(PROB_EPS)), F.lit(1 - PROB_EPS))))
                           .alias(name) for (name, _), p in zip(experts, p_true)])
     names = [n for n, _ in experts]
+    # an arrival that is delivered twice counts once; the keys are the stream's state
+    losses = losses.dropDuplicates(["row_id"])
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         fold_loss_batch(batch, batch_id, names, d["state"])
