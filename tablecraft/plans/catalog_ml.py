@@ -11,7 +11,8 @@ from ..operators.sampling import (alpha_weight, balanced_weight, hash_int_sql, h
                                   hash_unit, oversample, random_split, stratified_kfold,
                                   stratified_split)
 from ..operators.transforms import TargetEncoder
-from ..sources.bookings import with_bookings
+from ..functions.labels import label_to_int
+from ..sources.bookings import bookings, with_bookings
 from ..sources.tables import read_table
 from ..streaming.online import expert_probs_projection
 from . import sqlgen
@@ -434,6 +435,28 @@ def stream_score_q(spark, sf):
     return stream_score(spark, arrivals, st).select("row_id", "p_0", "p_1", "p_2", "prediction")
 
 
+@register("sink_submission_scored", "SELECT row_id, prediction AS reservation_status FROM (" + _stream_score_sql() + ")", "2.1")
+def sink_submission_scored(spark, sf):
+    """CSV in, fit, score, CSV out: bookings are scanned from CSV, the experts are
+    fitted on the train part, the other rows are scored and written as a keyed
+    submission, which is read back."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources.sinks import read_submission, write_submission
+    from ..sources.tables import read_csv
+    from .catalog_basic import BOOKINGS_DDL
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/submission-{uuid.uuid4().hex}"
+    bookings(spark, sf).write.option("header", "true").csv(f"{base}/in")
+    rows = read_csv(spark, f"{base}/in", schema=BOOKINGS_DDL)
+    rows = rows.withColumn("label", label_to_int("reservation_status")).drop("reservation_status")
+    sp = reuse(stratified_split(rows, "label", 20, 42))
+    state = TargetEncoder(TE_COLS, "label", CLASSES).fit(sp.where(~F.col("is_val")))
+    scored = expert_probs_projection(sp.where("is_val").select("row_id", *TE_COLS), state)
+    write_submission(scored, f"{base}/out")
+    sp.unpersist()
+    return read_submission(spark, f"{base}/out")
+
+
 @register("stream_ewa", _hold_experts_sql().rstrip() + _LOSS_SQL + f"""
 SELECT expert, round(cum_loss, 6) AS cum_loss, round(u / sum(u) OVER (), 6) AS weight FROM (
   SELECT expert, cum_loss, exp(-{ETA} * (cum_loss - min(cum_loss) OVER ())) AS u
