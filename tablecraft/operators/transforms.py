@@ -239,7 +239,7 @@ class OneHot:
         vocab_df = spark.createDataFrame(rows, "column string, value string, code int") \
             if rows else spark.createDataFrame([], "column string, value string, code int")
         infreq_code = {c: len(v) - 1 - (1 if first_dropped[c] else 0) for c, v in cats.items()}
-        codes = (flagged.join(F.broadcast(vocab_df), ["column", "value"], "left")
+        codes = (flagged.join(vocab_df, ["column", "value"], "left")
                  .select("column", "value", "frequent",
                          F.when(F.col("frequent"), F.col("code"))
                           .otherwise(F.element_at(F.create_map(*[x for c, k in infreq_code.items()

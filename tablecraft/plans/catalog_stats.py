@@ -11,7 +11,7 @@ from ..operators.transforms import (ImputeMedian, ImputeMode, OneHot, Scaler, Sk
 from ..sources.bookings import bookings, with_bookings
 from ..sources.tables import read_table
 from . import sqlgen
-from .common import BOOKING_NUMERIC, BOOKING_STRING, LABELED_CTE, labeled, r6, split_sql, with_split
+from .common import BOOKING_NUMERIC, BOOKING_STRING, LABELED_CTE, labeled, r6, reuse, split_sql, with_split
 from .registry import register
 
 NUM = BOOKING_NUMERIC
@@ -340,21 +340,21 @@ def te_sql(cols=_TE_COLS) -> str:
     ctes = [LABELED_CTE, sqlgen.stratified_split_cte("sp", "labeled"),
             "tr AS (SELECT * FROM sp WHERE NOT is_val)", sqlgen.prior_cte("prior", "tr")]
     ctes += sqlgen.te_ctes("tr", cols, "prior")
-    return with_bookings(*ctes) + sqlgen.te_apply("(SELECT * FROM sp WHERE is_val)", cols, "prior")
+    return with_bookings(*ctes) + sqlgen.te_apply("sp", cols, "prior")
 
 
 def te_spark(spark, sf, cols=_TE_COLS):
     from ..operators.sampling import stratified_split
-    sp = stratified_split(labeled(spark, sf), "label", 20, 42)
+    sp = reuse(stratified_split(labeled(spark, sf), "label", 20, 42))
     st = TargetEncoder(cols, "label").fit(sp.where(~F.col("is_val")))
-    out = st.apply(sp.where("is_val"))
+    out = st.apply(sp)
     return out.select("row_id", *[f"{c}_{j}" for c in cols for j in (0, 1, 2)])
 
 
 @register("tx_target_encode", te_sql(), "2.6")
 def tx_target_encode(spark, sf):
     """Smoothed (K=5) multi-class target encoding fitted on the stratified
-    train part, applied to the validation part (unseen / null -> prior)."""
+    train part, applied to the train and the validation rows (unseen / null -> prior)."""
     return te_spark(spark, sf)
 
 
