@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .textops import LOWER, mix, span_hash, text_slices
+from .textops import LOWER, flat, mix, slices, span_hash, text_slices
 
 # category -> labelled rows that have it, in the order of the chain
 CATEGORIES: tuple[tuple[str, str], ...] = (
@@ -36,7 +36,7 @@ CATEGORIES: tuple[tuple[str, str], ...] = (
     ("toxic_prose", "toxic = 1 AND quality = 1"),
     ("toxic_junk", "toxic = 1 AND quality = 0"),
 )
-MAX_TRAIN = 8000
+MAX_TRAIN = 5000
 MIN_DOCS = 3
 FOLDS = 5
 L2 = 0.1
@@ -47,9 +47,6 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
-_FEATURE = np.dtype([("h", "<u8"), ("v", "<f4")])
-
-
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, hash, value) of the distinct words of all rows and of their stems, the first ``STEMS``
     bytes of longer words; the value is log2(1 + occurrences)."""
@@ -130,11 +127,11 @@ def _train(min_docs: int, l2: float):
     def run(key, table):
         part = key[0].as_py()
         fold = table.column("fold").to_numpy()
-        words = [np.frombuffer(x, _FEATURE) for x in table.column("words").to_pylist()]
         y = table.column("y").to_numpy().astype(float)
         before = np.array(table.column("before").to_pylist(), float).reshape(len(y), -1)
-        row = np.repeat(np.arange(len(y)), [len(x) for x in words])
-        h, v = (np.concatenate([x[k] for x in words]) for k in ("h", "v"))
+        data, offs = flat(table.column("text"))
+        got = [(i, *features(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])) for i, j in slices(offs)]
+        row, h, v = np.concatenate([g[1] + g[0] for g in got]), np.concatenate([g[2] for g in got]), np.concatenate([g[3] for g in got])
         use = fold != part
         vocab, n = np.unique(h[use[row]], return_counts=True)
         vocab = vocab[n >= min_docs]
@@ -154,17 +151,6 @@ def _train(min_docs: int, l2: float):
     return run
 
 
-def _featurize(batches):
-    for rows, data, offs in text_slices(batches, "text"):
-        row, h, v = features(data, offs)
-        entry = np.empty(len(h), _FEATURE)
-        entry["h"], entry["v"] = h, v
-        bounds = np.searchsorted(row, np.arange(len(offs)))
-        yield pa.RecordBatch.from_arrays([rows.column(k) for k in range(rows.num_columns) if rows.schema.names[k] != "text"]
-                                         + [pa.array([entry[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())],
-                                         names=[n for n in rows.schema.names if n != "text"] + ["words"])
-
-
 def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_train: int = MAX_TRAIN, min_docs: int = MIN_DOCS, folds: int = FOLDS,
               l2: float = L2, seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
     """(vocabulary, weights) of each category, in chain order; empty without labelled rows."""
@@ -175,13 +161,12 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_tra
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(folds))) \
         .withColumn("i", F.xxhash64("doc_id", "text", *[f"y_{c}" for c in names]))
-    schema = T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField("words", T.BinaryType())])
-    rows = cut_lineage(rows.mapInArrow(_featurize, schema).dropDuplicates(["i"]))
+    rows = cut_lineage(rows.dropDuplicates(["i"]))
     if rows.isEmpty():
         return []
     models, before = [], F.array().cast("array<double>")
     for c in names:
-        data = rows.select("i", "fold", "words", F.col(f"y_{c}").alias("y"), before.alias("before"))
+        data = rows.select("i", "fold", "text", F.col(f"y_{c}").alias("y"), before.alias("before"))
         tasks = data.withColumn("part", F.explode(F.array(*[F.lit(k).cast("long") for k in range(-1, folds)])))
         got = cut_lineage(tasks.groupBy("part").applyInArrow(_train(min_docs, l2), "i long, p double, vocab binary, weights binary"))
         full = got.filter("weights is not null").first()       # one row, bounded by the training rows
