@@ -139,7 +139,7 @@ def mixing_plan(docs: DataFrame, text: str = "text", weights=WEIGHTS, max_copies
         .join(targets.withColumn("k", F.coalesce(F.col("source"), F.lit(""))).withColumn("nil", F.col("source").isNull()).drop("source"), ["k", "nil"])
     f = F.when(F.col("source_size") > 0, F.least(F.lit(float(max_copies)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     whole = F.floor(f + F.lit(1e-12)).cast("long")
-    rows = rows.withColumn("whole", whole).withColumn("p", F.when((F.col("size") > 0) & (f - whole > 1e-12), f - whole).otherwise(F.lit(0.0))) \
+    rows = rows.withColumn("whole", F.when(F.col("size") > 0, whole).otherwise(F.lit(0).cast("long"))).withColumn("p", F.when((F.col("size") > 0) & (f - whole > 1e-12), f - whole).otherwise(F.lit(0.0))) \
         .withColumn("grp", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(seed)), n_groups)).withColumn("open", F.col("p") > 0)
     top = targets.agg(F.max(n_groups).alias("m")).first()["m"] or 1
     done, level = None, 0
