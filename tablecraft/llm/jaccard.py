@@ -41,7 +41,7 @@ from .textops import LOWER, edges, mix, ranges, run_starts, span_hash, text_slic
 
 NGRAM = 5
 PERCENT = 75
-BLOCK_BYTES = 32 << 20      # bytes of text whose n-grams one column block holds, about
+BLOCK_BYTES = 24 << 20      # bytes of text whose n-grams one column block holds, about
 TILE = 1024                 # rows of one tile of the product
 BUCKET_ROWS = 2000          # rows of small groups multiplied by one task
 DENSE = 1 << 23             # cells of a dense block of columns
@@ -144,8 +144,8 @@ def _partners(n: np.ndarray, who: np.ndarray, h: np.ndarray, percent: int):
     """Entries sorted by (hash, size), each class once per hash, and which neighbours could link by size."""
     order = np.argsort(h)
     new = first_of(h[order])
-    several = order[~(new & np.append(new[1:], True))]       # columns of one entry go at once
-    who, h = who[several], h[several]
+    order = order[~(new & np.append(new[1:], True))]         # columns of one entry go at once
+    who, h = who[order], h[order]
     order = np.lexsort((who, n[who], h))
     who, h = who[order], h[order]
     once = first_of(h)

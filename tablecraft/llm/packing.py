@@ -32,7 +32,7 @@ from .tokens import TOKENIZER, tokenizer_path
 
 WINDOW = 1024
 GROUP_PIECES = 60_000
-MAX_CACHED = 300_000
+MAX_CACHED = 150_000
 
 
 class Encoder:
