@@ -2,10 +2,17 @@
 
 A sentence ends behind one of ``ENDERS`` before white space, or at a line feed;
 clause marks are enders too, so a passage spliced into the middle of another
-sentence still has whole sentences of its own.  Every run of ``RUN`` consecutive
-sentences with at least ``MIN_WORDS`` words is hashed.  Equal runs meet in hash
-blocks; the one that comes first by (doc_id, position) stays, and sentences
-covered by any other are removed from their texts.
+sentence still has whole sentences of its own.  Equal runs of consecutive sentences
+meet in hash blocks; the one that comes first by (doc_id, position) stays, and
+sentences covered by any other are removed from their texts.
+
+Two rules say which runs are hashed.  ``op5_sentence_spans`` takes every run of
+``RUN`` sentences with at least ``MIN_WORDS`` words, as its SQL does.
+``op5_whole_spans`` (``run=None``) covers every run with at least ``MIN_WORDS``
+words, whatever its number of sentences: for each sentence it takes the shortest
+such run that begins with it and the shortest that ends with it, and any repeated
+run is covered by those inside it.  Where the text ends before ``MIN_WORDS`` words,
+its last sentences are a run if they are ``RUN`` or more.
 
 A map task sends one entry per distinct run of a slice, so a run that stands in a
 third of all documents costs its block one entry per slice.
@@ -52,54 +59,72 @@ def sentences(data: np.ndarray, offs: np.ndarray):
     return s[open_], e[close], row[close], close - open_ + 1
 
 
-def runs(data: np.ndarray, offs: np.ndarray, run: int, min_words: int):
-    """(hash, row, sentence number in its row) of every run of sentences."""
+def runs(data: np.ndarray, offs: np.ndarray, run: int | None, min_words: int):
+    """(hash, row, first sentence's number in its row, sentences) of the runs of ``run`` sentences, or of any number."""
     s, e, row, words = sentences(data, offs)
     begin = run_starts(row)
-    number = np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row))))
-    if len(s) < run:
+    size = np.diff(np.append(begin, len(row)))
+    number = np.arange(len(row)) - np.repeat(begin, size)
+    if len(s) < (run or 1):
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z, z
+        return z.astype(np.uint64), z, z, z
     h = span_hash(data, s, e)
     total = np.concatenate([[0], np.cumsum(words)])
-    at = np.flatnonzero((row[run - 1:] == row[:len(row) - run + 1]) & (total[run:] - total[:-run] >= min_words))
+    if run:
+        at = np.flatnonzero((row[run - 1:] == row[:len(row) - run + 1]) & (total[run:] - total[:-run] >= min_words))
+        n = np.full(len(at), run)
+    else:
+        at, n = _shortest(total, np.repeat(begin, size), np.repeat(begin + size, size), min_words)
     key = np.zeros(len(at), np.uint64)
-    for k in range(run):
-        key = mix(key * np.uint64(3) + h[at + k])
-    return key, row[at], number[at]
+    for k in range(int(n.max(initial=0))):
+        on = n > k
+        key[on] = mix(key[on] * np.uint64(3) + h[at[on] + k])
+    return key, row[at], number[at], n
 
 
-def _packed(blocks, at, ids, null, digest, row, h, pos, given=None):
+def _shortest(total: np.ndarray, begin: np.ndarray, stop: np.ndarray, min_words: int):
+    """(first sentence, sentences) of the shortest runs of ``min_words`` from and up to each sentence, and of short ends of texts."""
+    i = np.arange(len(begin))
+    to = np.searchsorted(total, total[:-1] + min_words)
+    since = np.searchsorted(total, total[1:] - min_words, "right") - 1
+    ahead = to <= stop
+    back = (since >= begin) & (to[np.maximum(since, 0)] != i + 1)      # unless it is the shortest from its first sentence too
+    tail = ~ahead & (stop - i >= RUN)
+    at = np.concatenate([i[ahead], since[back], i[tail]])
+    return at, np.concatenate([to[ahead], i[back] + 1, stop[tail]]) - at
+
+
+def _packed(at, ids, null, digest, row, h, pos, n):
     """Entries by block; rows ascend within a block."""
     order = np.lexsort((pos, row, at))
-    at, row, h, pos = at[order], row[order], h[order], pos[order]
+    at, row, h, pos, n = at[order], row[order], h[order], pos[order], n[order]
     start, out = run_starts(at), {}
     for a, b in zip(start, np.append(start[1:], len(at))):
         first = run_starts(row[a:b])
         k = row[a:b][first]
         out[int(at[a])] = pack(id=ids[k], null=null[k], digest=digest[k], count=np.diff(np.append(first, b - a)).astype(np.uint32),
-                               h=h[a:b], pos=pos[a:b].astype(np.uint32))
+                               h=h[a:b], pos=pos[a:b].astype(np.uint32), n=n[a:b].astype(np.uint16))
     return out
 
 
-def _run_pass(blocks: int, run: int, min_words: int):
+def _run_pass(blocks: int, run: int | None, min_words: int):
     def go(batches):
         for rows, data, offs in text_slices(batches, "text"):
             col = rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64())
             null = col.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
             ids = col.fill_null(-(1 << 63)).to_numpy()
             digest = rows.column(rows.schema.get_field_index("digest")).to_numpy()
-            h, row, pos = runs(data, offs, run, min_words)
+            h, row, pos, n = runs(data, offs, run, min_words)
             order = np.lexsort((pos, digest[row], ids[row], h))
-            h, row, pos = h[order], row[order], pos[order]
+            h, row, pos, n = h[order], row[order], pos[order], n[order]
             new = first_of(h)
             at = block_of(h, blocks)
-            sent = _packed(blocks, at[new], ids, null, digest, row[new], h[new], pos[new])
+            sent = _packed(at[new], ids, null, digest, row[new], h[new], pos[new], n[new])
             # later ones of the slice are repeats whatever the others hold, unless they are the same place of a repeated row
             lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, np.int64)
             twin = (ids[row] == ids[row[lead]]) & (digest[row] == digest[row[lead]]) & (pos == pos[lead])
             gone = ~twin
-            done = _packed(blocks, at[gone], ids, null, digest, row[gone], h[gone], pos[gone])
+            done = _packed(at[gone], ids, null, digest, row[gone], h[gone], pos[gone], n[gone])
             keys = sorted({*sent, *done})
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([sent.get(k) for k in keys], pa.binary()),
                                               pa.array([done.get(k) for k in keys], pa.binary())], names=["block", "payload", "done"])
@@ -107,34 +132,34 @@ def _run_pass(blocks: int, run: int, min_words: int):
 
 
 def _read(raws):
-    got = [unpack(raw, [*_ROW, "<u8", "<u4"]) for raw in raws if raw is not None]
+    got = [unpack(raw, [*_ROW, "<u8", "<u4", "<u2"]) for raw in raws if raw is not None]
     if not got:
         z = np.zeros(0, np.int64)
-        return z, z.astype(np.uint8), z, z.astype(np.uint64), z
+        return z, z.astype(np.uint8), z, z.astype(np.uint64), z, z
     return tuple(np.concatenate([np.repeat(g[k], g[3]) for g in got]) for k in range(3)) + (
-        np.concatenate([g[4] for g in got]), np.concatenate([g[5] for g in got]).astype(np.int64))
+        np.concatenate([g[4] for g in got]), *(np.concatenate([g[k] for g in got]).astype(np.int64) for k in (5, 6)))
 
 
 def _later(key, table):
-    """Of a block: the places whose run came first elsewhere, by text."""
-    ids, null, digest, h, pos = _read(table.column("payload").to_pylist())
+    """Of a block: the places whose run came first elsewhere, by text; a place is first sentence << 16 | sentences."""
+    ids, null, digest, h, pos, n = _read(table.column("payload").to_pylist())
     order = np.lexsort((pos, digest, ids, h))
-    ids, null, digest, h, pos = (x[order] for x in (ids, null, digest, h, pos))
+    ids, null, digest, h, pos, n = (x[order] for x in (ids, null, digest, h, pos, n))
     new = first_of(h)
     lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, np.int64)
     gone = ~((ids == ids[lead]) & (digest == digest[lead]) & (pos == pos[lead]))
     more = _read(table.column("done").to_pylist())
-    ids, null, digest, pos = (np.concatenate([x[gone], y]) for x, y in ((ids, more[0]), (null, more[1]), (digest, more[2]), (pos, more[4])))
+    ids, null, digest, pos, n = (np.concatenate([x[gone], y]) for x, y in ((ids, more[0]), (null, more[1]), (digest, more[2]), (pos, more[4]), (n, more[5])))
     order = np.lexsort((pos, digest, ids))
-    ids, null, digest, pos = ids[order], null[order], digest[order], pos[order]
+    ids, null, digest, place = ids[order], null[order], digest[order], (pos << 16 | n)[order]
     new = first_of(ids)
     new[1:] |= digest[1:] != digest[:-1]
     start = np.flatnonzero(new)
-    parts = [np.unique(pos[a:b]).tolist() for a, b in zip(start, np.append(start[1:], len(ids)))]
+    parts = [np.unique(place[a:b]).tolist() for a, b in zip(start, np.append(start[1:], len(ids)))]
     return pa.table({"id": pa.array(ids[start], pa.int64()), "digest": pa.array(digest[start], pa.int64()), "at": pa.array(parts, pa.list_(pa.int64()))})
 
 
-def _cut(columns: list[str], text: str, run: int):
+def _cut(columns: list[str], text: str):
     """Texts without their repeated sentences."""
     def go(batches):
         for rows, data, offs in text_slices(batches, text):
@@ -146,7 +171,7 @@ def _cut(columns: list[str], text: str, run: int):
                 a, b = int(first[k]), int(first[k + 1])
                 drop = np.zeros(b - a, bool)
                 for p in {q for part in parts or [] for q in part}:
-                    drop[p:p + run] = True
+                    drop[p >> 16:(p >> 16) + (p & 0xFFFF)] = True
                 total.append(b - a)
                 removed.append(int(drop.sum()))
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], drop.view(np.int8), [0]])))
@@ -164,7 +189,7 @@ def _cut(columns: list[str], text: str, run: int):
     return go
 
 
-def drop_repeated_sentences(docs: DataFrame, text: str = "text", run: int = RUN, min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_repeated_sentences(docs: DataFrame, text: str = "text", run: int | None = RUN, min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with repeated spans removed from their texts, and ``n_sentences, n_removed, n_spans``."""
     columns = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "n_spans")]
     digest = F.conv(F.substring(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))), 1, 16), 16, -10).cast("long")
@@ -178,7 +203,7 @@ def drop_repeated_sentences(docs: DataFrame, text: str = "text", run: int = RUN,
     joined = docs.select(*[F.col(f"`{c}`") for c in columns]).join(later, (own == F.col("__id")) & (digest == F.col("__digest")), "left") \
         .select(*[F.col(f"`{c}`") for c in columns], "__at")
     schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField(c, T.LongType()) for c in ("n_sentences", "n_removed", "n_spans")])
-    return joined.mapInArrow(_cut(columns, text, run), schema)
+    return joined.mapInArrow(_cut(columns, text), schema)
 
 
 def op5_sentence_spans(spark, sf_dir) -> DataFrame:
@@ -186,6 +211,11 @@ def op5_sentence_spans(spark, sf_dir) -> DataFrame:
     return drop_repeated_sentences(docs).select("doc_id", "n_sentences", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_whole_spans(spark, sf_dir) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return drop_repeated_sentences(docs, run=None).select("doc_id", "n_sentences", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 OP5_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 p AS (SELECT rid, doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM (SELECT rid, doc_id, string_split(regexp_replace(
       regexp_replace(text, '([\x20\x09-\x0D]*\n[\x20\x09-\x0D]*)', '\1' || chr(1), 'g'), '([{ENDERS}][\x20\x09-\x0D]+)', '\1' || chr(1), 'g'), chr(1)) AS ps FROM d)),
@@ -203,4 +233,14 @@ t AS (SELECT p.rid, string_agg(CASE WHEN coalesce(m.gone, false) THEN '' ELSE p.
 SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
        sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (rid)"""
 
-QUERIES = {"op5_sentence_spans": (op5_sentence_spans, OP5_SQL)}
+# sentences and removal as above; a run is at most MIN_WORDS sentences long, as each has a word
+OP5_WHOLE_SQL = OP5_SQL[:OP5_SQL.index("r AS (")] + rf"""z AS (SELECT rid, doc_id, pos, list(t) OVER o AS ts, list(n) OVER o AS ns, count(*) OVER (PARTITION BY rid) AS last
+      FROM u WINDOW o AS (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING)),
+w AS (SELECT rid, doc_id, pos, last, size, ts[1:size] AS run, list_sum(ns[1:size]) AS w, list_sum(ns[1:size]) - ns[size] AS w_front, list_sum(ns[1:size]) - ns[1] AS w_back
+      FROM z, range(1, {MIN_WORDS + 1}) AS s(size) WHERE size <= len(ts)),
+k AS (SELECT rid, pos, size, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS place FROM w
+      WHERE (w >= {MIN_WORDS} AND (w_front < {MIN_WORDS} OR w_back < {MIN_WORDS})) OR (w < {MIN_WORDS} AND size >= {RUN} AND pos + size - 1 = last)),
+g AS (SELECT DISTINCT rid, unnest(range(pos, pos + size)) AS pos FROM k WHERE place > 1),
+""" + OP5_SQL[OP5_SQL.index("m AS ("):]
+
+QUERIES = {"op5_sentence_spans": (op5_sentence_spans, OP5_SQL), "op5_whole_spans": (op5_whole_spans, OP5_WHOLE_SQL)}
