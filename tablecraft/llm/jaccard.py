@@ -32,8 +32,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .exchange import Forest, block_of, components, first_of, n_blocks, pack, text_bytes, unpack
@@ -348,9 +349,8 @@ def _products(percent: int):
 
 _EDGES = "u long, v long"
 
-def jaccard_components(docs: DataFrame, text: str = "text", ngram: int = NGRAM, percent: int = PERCENT,
-                       block_bytes: int = BLOCK_BYTES, tile: int = TILE) -> DataFrame:
-    """``doc_id, n_shingles, class_id, component_id`` for every row."""
+def _labelled(docs: DataFrame, text: str, ngram: int = NGRAM, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, tile: int = TILE):
+    """``doc_id, n, cls`` of every row, and ``cls, n, min_id, root`` of every class; no root without shingles."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     blocks = n_blocks(text_bytes(src), block_bytes)
     out = "to long, payload binary, docs binary"
@@ -386,7 +386,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", ngram: int = NGRAM,
         plan = small.unionByName(paired.withColumn("grp", F.col("key")))
     links = plan.join(matrix.select("cls", "n", "columns"), "cls").groupBy("key").applyInArrow(_products(percent), _EDGES)
     label = cut_lineage(components(links)).select(F.col("node").alias("cls"), "root")
-    named = classes.join(label, "cls", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "cls")))
+    return rows, classes.join(label, "cls", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "cls")))
+
+
+def jaccard_components(docs: DataFrame, text: str = "text", **params) -> DataFrame:
+    """``doc_id, n_shingles, class_id, component_id`` for every row."""
+    rows, named = _labelled(docs, text, **params)
     lowest = named.filter("root is not null").groupBy("root").agg(F.min("min_id").alias("component_id"))
     names = named.join(lowest, "root").select("cls", "component_id")
     return rows.join(names, "cls", "left").select(
@@ -394,10 +399,37 @@ def jaccard_components(docs: DataFrame, text: str = "text", ngram: int = NGRAM,
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, text: str = "text", **params) -> DataFrame:
-    """One document of each component stays: the one with the smallest id."""
-    gone = jaccard_components(docs, text, **params).filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+def _with_classes(text: str, ngram: int):
+    """Rows with ``__id, __null, __cls, __n``; of a slice's rows of one id and class the first.  Rows without shingles all stay, told apart by place."""
+    def run(batches):
+        for rows, data, offs in text_slices(batches, text):
+            sets = shingle_sets(data, offs, ngram)
+            size = np.array([len(x) for x in sets], np.int64)
+            cls = np.array([class_key(x) if len(x) else k for k, x in enumerate(sets)], np.int64)
+            ids = rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64())
+            null = ids.is_null().to_numpy(zero_copy_only=False)
+            ids = ids.fill_null(0).to_numpy()
+            order = np.lexsort((size == 0, ids, null, cls))
+            again = np.zeros(len(cls), bool)
+            a, b = order[:-1], order[1:]
+            again[b] = (cls[a] == cls[b]) & (null[a] == null[b]) & (ids[a] == ids[b]) & (size[b] > 0)
+            got = pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids), pa.array(null), pa.array(cls), pa.array(size)],
+                                             names=[*rows.schema.names, "__id", "__null", "__cls", "__n"])
+            yield got.filter(pa.array(~again))
+    return run
+
+
+def drop_near_copies(docs: DataFrame, text: str = "text", ngram: int = NGRAM, **params) -> DataFrame:
+    """One row of each component stays: the one with the smallest id, null last, then the smallest class key."""
+    _, named = _labelled(docs, text, ngram, **params)
+    stays = named.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("min_id").isNull().alias("null"), "min_id", "cls")).alias("s")) \
+        .select(F.coalesce("s.min_id", F.lit(0).cast("long")).alias("__id"), F.col("s.null").alias("__null"), F.col("s.cls").alias("__cls"), F.lit(True).alias("__stays"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("__id", T.LongType()), T.StructField("__null", T.BooleanType()),
+                           T.StructField("__cls", T.LongType()), T.StructField("__n", T.LongType())])
+    key = ["__id", "__null", "__cls"]
+    rows = docs.mapInArrow(_with_classes(text, ngram), schema).join(stays, key, "left").filter("__n = 0 or __stays")
+    one = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
+    return rows.withColumn("__one", one).filter("__n = 0 or __one = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_jaccard_join(spark, sf_dir) -> DataFrame:
