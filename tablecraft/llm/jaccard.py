@@ -104,7 +104,7 @@ def _members(raw: bytes):
 
 
 def _incidence_pass(blocks: int, ngram: int):
-    """Per slice and block: the members of its classes (a class once), and documents dealt out with them."""
+    """Per slice and block: the members of its classes (a class once), and documents dealt out by id and class."""
     def run(batches):
         for rows, data, offs in text_slices(batches, "text"):
             sets = shingle_sets(data, offs, ngram)
@@ -121,7 +121,7 @@ def _incidence_pass(blocks: int, ngram: int):
             ids = rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64())
             null = ids.is_null().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy()
-            home = block_of(mix(cls.view(np.uint64)), blocks)
+            home = block_of(mix(ids.view(np.uint64) * np.uint64(3) + cls.view(np.uint64)), blocks)
             docs = {int(b): pack(id=ids[home == b], null=null[home == b].astype(np.uint8), cls=cls[home == b], n=size[home == b].astype(np.uint32))
                     for b in np.unique(home)}
             keys = sorted({*out, *docs})

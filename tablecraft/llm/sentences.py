@@ -124,7 +124,9 @@ def _run_pass(blocks: int, run: int | None, min_words: int):
             lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, np.int64)
             twin = (ids[row] == ids[row[lead]]) & (digest[row] == digest[row[lead]]) & (pos == pos[lead])
             gone = ~twin
-            done = _packed(at[gone], ids, null, digest, row[gone], h[gone], pos[gone], n[gone])
+            # decided places meet nothing in a block, so they are dealt by document
+            home = block_of(mix(ids.view(np.uint64) * np.uint64(3) + digest.view(np.uint64)), blocks)
+            done = _packed(home[row[gone]], ids, null, digest, row[gone], h[gone], pos[gone], n[gone])
             keys = sorted({*sent, *done})
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([sent.get(k) for k in keys], pa.binary()),
                                               pa.array([done.get(k) for k in keys], pa.binary())], names=["block", "payload", "done"])
