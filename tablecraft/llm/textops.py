@@ -121,3 +121,23 @@ def ranges(lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     out = np.arange(total, dtype=np.int64)
     return out - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def mask_runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, row) of the maximal runs of marked bytes; no run crosses a row."""
+    n = len(inside)
+    if n == 0:
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    first = np.zeros(n + 1, bool)
+    first[offs] = True
+    start, end = inside.copy(), inside.copy()
+    start[1:] &= ~inside[:-1] | first[1:n]
+    end[:-1] &= ~inside[1:] | first[1:n]
+    s = np.flatnonzero(start)
+    return s, np.flatnonzero(end) + 1, np.searchsorted(offs, s, "right") - 1
+
+
+def string_array(data: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """Arrow strings over contiguous bytes."""
+    return pa.Array.from_buffers(pa.large_string(), len(offs) - 1, [None, pa.py_buffer(np.ascontiguousarray(offs, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
