@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("quality", "exact", "mixing", "tokens", "jaccard", "chat", "packing", "suffix", "sentences", "toxicity", "imatch", "variants")
+_MODULES = ("quality", "exact", "mixing", "tokens", "jaccard", "chat", "packing", "suffix", "sentences", "toxicity", "phrases", "imatch", "variants")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
