@@ -309,6 +309,10 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", thres
 
 # ------------------------------------------------------------ scores
 
+# whole numbers of up to 38 digits: 1000 * a * n may pass 64 bits
+SCORE = "cast((cast(a as decimal(19, 0)) * cast(n as decimal(19, 0)) * 1000) div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0))) as bigint)"
+
+
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", threshold: int = THRESHOLD, max_words: int = MAX_WORDS, cover: int = COVER,
                  top: int | None = TOP, **params) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the best phrases of each language (all with ``top=None``)."""
@@ -324,9 +328,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", thresh
     part = counts.select("lang", "phrase", "n")
     cuts = cuts.join(part.select("lang", F.col("phrase").alias("head"), F.col("n").alias("l")), ["lang", "head"]) \
         .join(part.select("lang", F.col("phrase").alias("tail"), F.col("n").alias("r")), ["lang", "tail"]).join(totals.withColumnRenamed("total", "n"), "lang")
-    whole = "cast({} as decimal(19, 0))"
-    score = F.expr(f"cast(({whole.format('a')} * {whole.format('n')} * 1000) div ({whole.format('l')} * {whole.format('r')}) as bigint)")
-    best = cuts.withColumn("score", score).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("b")) \
+    best = cuts.withColumn("score", F.expr(SCORE)).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("b")) \
         .select("lang", "phrase", "a", F.col("b.l").alias("l"), F.col("b.r").alias("r"), "n", F.col("b.score").alias("score"))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     by_lang = Window.partitionBy("lang").orderBy(*order)
