@@ -9,13 +9,19 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import prob_clip
 from ..operators import linear, stats, trees
+from ..operators.boosting import Boosting, fit_boosting
+from ..operators.dictionary import category_codes, with_codes
 from ..operators.encoding import route_columns
+from ..operators.metrics import p_true_from_array, per_class_f1_grouped
 from ..operators.rff import RandomFourierFeatures
 from ..operators.sampling import stratified_kfold, stratified_split
 from ..operators.transforms import ImputeMedian, OneHot, Scaler, TargetEncoder
 from ..sources.bookings import with_bookings
+from ..session import cut_lineage
 from . import pipelines as P
+from . import stacking as S
 from .common import BOOKING_NUMERIC, BOOKING_STRING, LABELED_CTE, labeled, reuse, r6
 from .registry import register
 
@@ -165,6 +171,10 @@ def nb_features(spark, sf):
     return fe.apply(tr).persist(StorageLevel.MEMORY_AND_DISK), fe.apply(te), (te_cols, oh_cols)
 
 
+def _width(frame: DataFrame) -> int:
+    return len(frame.select("features").first()[0])
+
+
 def _scored(model, test: DataFrame) -> DataFrame:
     s = model.transform(test)
     return s.select("row_id", *[F.round(F.col("probability")[j], 6).alias(f"p_{j}") for j in CLASSES],
@@ -192,31 +202,31 @@ def fit_extra_trees(spark, sf):
 
 @register("fit_boosted_trees", None, "2.10")
 def fit_boosted_trees(spark, sf):
-    """One binary GBT per class (200 iterations, depth 8, step 0.1), renormalised."""
+    """Histogram boosting with a softmax loss: 200 iterations, depth 8, 31 leaves, step 0.1."""
     tr, te, _ = nb_features(spark, sf)
-    return _scored(trees.fit_boosted_ovr(tr, 200, 8, 0.1), te)
+    return _scored(fit_boosting(tr, Boosting(n_iter=200, max_depth=8, step=0.1), _width(tr))[0], te)
+
+
+@register("fit_boosted_even", None, "2.10")
+def fit_boosted_even(spark, sf):
+    """The symmetric-tree configuration: 200 iterations, depth 6, step 0.1, leaf penalty 3."""
+    tr, te, _ = nb_features(spark, sf)
+    return _scored(fit_boosting(tr, S.EVEN, _width(tr))[0], te)
 
 
 @register("fit_native_categorical", None, "2.10")
 def fit_native_categorical(spark, sf):
-    """Boosting on raw categories: string columns indexed (alphabetical, fitted
-    on train, unseen -> extra index) and used as tree features; depth 7,
-    100 iterations, maxBins >= cardinality."""
-    from pyspark.ml.feature import StringIndexer
+    """Boosting on raw categories (100 iterations, depth 7, 31 leaves): a node orders its categories by gradient over
+    hessian and cuts the order; unseen categories and nulls take the default side, missing numbers the
+    better one."""
     tr, te = train_test(spark, sf)
-    cats = BOOKING_STRING
-    idx = StringIndexer(inputCols=cats, outputCols=[f"{c}_ix" for c in cats],
-                        stringOrderType="alphabetAsc", handleInvalid="keep").fit(tr)
-    num = BOOKING_NUMERIC
-    med = ImputeMedian(num).fit(tr)
+    codes, sizes = category_codes(tr, BOOKING_STRING)
 
     def feats(df):
-        x = idx.transform(med.apply(df))
-        return x.select("row_id", *(["label"] if "label" in df.columns else []),
-                        F.array(*[F.col(c).cast("double") for c in num + [f"{c}_ix" for c in cats]])
-                        .alias("features"))
-    card = max(len(l) for l in idx.labelsArray) + 1
-    model = trees.fit_boosted_ovr(feats(tr), 100, 7, 0.1, max_bins=max(32, card))
+        x = with_codes(df, codes, BOOKING_STRING)
+        return x.select("row_id", "label", F.array(*[F.col(c).cast("double") for c in [*BOOKING_NUMERIC, *[f"{c}__code" for c in BOOKING_STRING]]]).alias("features"))
+    native = {len(BOOKING_NUMERIC) + k: sizes[c] for k, c in enumerate(BOOKING_STRING)}
+    model = fit_boosting(feats(tr), Boosting(n_iter=100, max_depth=7, step=0.1), len(BOOKING_NUMERIC) + len(native), categorical=native)[0]
     return _scored(model, feats(te))
 
 
@@ -271,77 +281,53 @@ def tx_rbf_features(spark, sf):
 # stacking: out-of-fold base predictions -> meta learner
 # --------------------------------------------------------------------------
 
-BASES = {
-    "LogisticRegression": lambda d: trees.fit_logreg(d, 1000),
-    "RandomForest": lambda d: trees.fit_forest(d, 100, 10),
-    "ExtraTrees": lambda d: trees.fit_forest(d, 200, 10, bootstrap=False),
-}
+FOLDS = 5
 
 
-def _base_scores(models: dict, frame: DataFrame, clip: bool = False) -> DataFrame:
-    """The frame's keys with ``{model}_class{i}`` columns, all models scored on one frame."""
-    keys = [c for c in frame.columns if c != "features"]
-    for name, m in models.items():
-        frame = m.with_probability(frame, f"_{name}")
-    prob = (lambda c: F.least(F.greatest(c, F.lit(1e-15)), F.lit(1 - 1e-15))) if clip else (lambda c: c)
-    return frame.select(*keys, *[prob(F.col(f"_{name}")[j]).alias(f"{name}_class{j}") for name in models for j in CLASSES])
-
-
-def _oof_matrix(spark, sf):
-    """Per fold: encodings + scaler fitted on the fold's train part, every base
-    model fitted there and scored on the held-out fold; stacked by row_id."""
+def _bases(spark, sf, with_test: bool) -> DataFrame:
+    """Scores of the five bases: of the training part out of fold and, if wanted, of the test part by every model."""
     lab = labeled(spark, sf)
     te_cols, oh_cols = route_columns(lab, BOOKING_STRING)
     tr, te = train_test(spark, sf)
-    kf = reuse(stratified_kfold(tr, "label", 5, 42))
-    parts = []
-    for f in range(5):
-        fit_rows, held = kf.where(F.col("fold") != f), kf.where(F.col("fold") == f)
-        fe = NBFeatures(fit_rows, te_cols, oh_cols)
-        ftr = fe.apply(fit_rows).persist(StorageLevel.MEMORY_AND_DISK)
-        fho = fe.apply(held)
-        parts.append(_base_scores({name: fit(ftr) for name, fit in BASES.items()}, fho, clip=True))
-    oof = parts[0]
-    for p in parts[1:]:
-        oof = oof.unionByName(p)
-    return oof, te
+    kf = stratified_kfold(tr, "label", FOLDS, 42)
+    return S.base_scores(kf, te if with_test else None, te_cols, oh_cols, FOLDS)
 
 
 @register("ens_oof_matrix", None, "2.11")
 def ens_oof_matrix(spark, sf):
-    oof, _ = _oof_matrix(spark, sf)
-    return oof
+    """Class probabilities of five base learners for every training row, each from the model of the other folds."""
+    return S.oof_rows(_bases(spark, sf, False))
 
 
 @register("fit_meta_learner", None, "2.10")
 def fit_meta_learner(spark, sf):
-    """Boosted-tree meta learner on the OOF matrix (300 iterations, step 0.05,
-    depth 5, 10 % validation for early stopping); in-sample scores."""
-    oof, _ = _oof_matrix(spark, sf)
-    feats = [c for c in oof.columns if "_class" in c]
-    x = oof.select("row_id", "label", F.array(*feats).alias("features"),
-                   (F.abs(F.xxhash64("row_id")) % 10 == 0).alias("is_valid"))
-    meta = trees.fit_boosted_ovr(x, 300, 5, 0.05, validation_col="is_valid")
-    return _scored(meta, x.drop("is_valid"))
+    """Boosted meta learner on the out-of-fold matrix (300 iterations, step 0.05, depth 5, leaf penalty 0.1,
+    early stopping on a tenth): scores of its own rows, ``held_out`` marking those it stopped on."""
+    oof = S.oof_rows(_bases(spark, sf, False))
+    rows = S.tenth(S.meta_features(oof)).withColumnRenamed("is_valid", "held_out")
+    s = S.fit_meta(oof).transform(rows)
+    return s.select("row_id", "held_out", *[F.round(F.col("probability")[j], 6).alias(f"p_{j}") for j in CLASSES], "prediction")
 
 
 @register("ens_stack_score", None, "2.11")
 def ens_stack_score(spark, sf):
-    """Held-out stacking score: meta learner fitted on the out-of-fold matrix,
-    base models refitted on the whole training part, test rows scored by the
-    bases and then by the meta learner (the reference only reports the
-    in-sample score of its meta learner)."""
-    oof, te = _oof_matrix(spark, sf)
-    feats = [c for c in oof.columns if "_class" in c]
-    x = oof.select("row_id", "label", F.array(*feats).alias("features"),
-                   (F.abs(F.xxhash64("row_id")) % 10 == 0).alias("is_valid"))
-    meta = trees.fit_boosted_ovr(x, 300, 5, 0.05, validation_col="is_valid")
-    lab = labeled(spark, sf)
-    te_cols, oh_cols = route_columns(lab, BOOKING_STRING)
-    tr, test = train_test(spark, sf)
-    fe = NBFeatures(tr, te_cols, oh_cols)
-    ftr = fe.apply(tr).persist(StorageLevel.MEMORY_AND_DISK)
-    fte = fe.apply(test)
-    m = _base_scores({name: fit(ftr) for name, fit in BASES.items()}, fte)
-    z = m.select("row_id", F.array(*feats).alias("features"))
-    return _scored(meta, z)
+    """Held-out stacking score: test rows by the bases fitted on the whole training part, then by the meta learner."""
+    scores = _bases(spark, sf, True)
+    meta = S.fit_meta(S.oof_rows(scores))
+    return _scored(meta, S.meta_features(S.test_rows(scores).filter(F.col("model") == FOLDS)).drop("model"))
+
+
+@register("ens_fold_test_scores", None, "2.11")
+def ens_fold_test_scores(spark, sf):
+    """Test scores of the stack by fold: the meta learner over each fold's bases, and over those of the whole training
+    part (fold null): log-loss and weighted F1 with mean and population deviation over the folds."""
+    scores = _bases(spark, sf, True)
+    meta = S.fit_meta(S.oof_rows(scores))
+    s = meta.transform(S.meta_features(S.test_rows(scores))).withColumn("fold", F.when(F.col("model") < FOLDS, F.col("model")))
+    s = cut_lineage(s.select("fold", "label", "prediction", p_true_from_array("probability", "label").alias("p")))
+    loss = s.groupBy("fold").agg(F.avg(-F.log(prob_clip("p"))).alias("log_loss"))
+    f1 = per_class_f1_grouped(s, "label", "prediction", ["fold"]).groupBy("fold").agg((F.sum(F.col("support") * F.col("f1")) / F.sum("support")).alias("f1_weighted"))
+    both = cut_lineage(loss.join(f1, loss["fold"].eqNullSafe(f1["fold"])).select(loss["fold"], "log_loss", "f1_weighted"))
+    folds = both.filter("fold is not null")
+    over = folds.agg(*[f(c).alias(f"{c}_{n}") for c in ("log_loss", "f1_weighted") for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    return both.crossJoin(F.broadcast(over)).select("fold", *[F.round(c, 6).alias(c) for c in ("log_loss", "f1_weighted", *over.columns)])
