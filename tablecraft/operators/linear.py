@@ -164,68 +164,142 @@ def loss_grad_at(df: DataFrame, W: np.ndarray, classes: Sequence[int], C: float,
     return f, g
 
 
-def fit_sqhinge_l2(df: DataFrame, n_features: int, classes: Sequence[int], C: float = 1.0,
-                   class_weight: Sequence[float] | None = None, tol: float = 1e-3,
-                   max_iter: int = 50, feat: str = "features", label: str = "label",
-                   weight: str | None = None) -> LinearSVMModel:
-    """Generalized Newton.  Each pass returns f, g, H at the proposed full
-    step AND f at shorter steps, so one Spark job per iteration when the full
-    Newton step is accepted (the usual case); otherwise the best shorter step
-    is taken and its derivatives are computed by the next pass."""
-    classes = list(classes)
-    k, d = len(classes), n_features + 1
-    cw = np.asarray(class_weight if class_weight is not None else [1.0] * k, dtype=float) * C
-    W = np.zeros((k, d))
-    hist: list[float] = []
+def class_costs(classes: Sequence[int], C: float, class_weight: Sequence[float] | None = None) -> np.ndarray:
+    """(problem, label) costs: a class weight raises the class's own side of its problem only."""
+    k = len(classes)
+    own = np.asarray(class_weight if class_weight is not None else [1.0] * k, dtype=float)
+    return C * np.where(np.eye(k, dtype=bool), own[:, None], 1.0)
 
-    def stats_at(Wc, steps=(), D=None):
-        fn = _sqhinge_stats(Wc, classes, cw, C, True, steps, D)
-        tot = tree_sum(_partials(df, feat, label, weight, fn))
-        f = tot[:k] + 0.5 * np.sum(Wc ** 2, axis=1)
-        g = tot[k:k + k * d].reshape(k, d) + Wc
-        H = tot[k + k * d:k + k * d + k * d * d].reshape(k, d, d) + np.eye(d)[None]
-        fst = tot[k + k * d + k * d * d:].reshape(k, len(steps)) if steps else None
-        return f, g, H, fst
 
-    f, g, H, _ = stats_at(W)
-    g0 = np.maximum(np.linalg.norm(g, axis=1), 1e-12)
-    stalled = np.zeros(k, bool)     # no step along the Newton direction lowers the objective
+def row_costs(classes: Sequence[int], C: float, label_weight: Sequence[float]) -> np.ndarray:
+    """(problem, label) costs of row weights: a row's label weighs in all problems."""
+    return C * np.tile(np.asarray(label_weight, dtype=float), (len(classes), 1))
+
+
+def _grid_stats(W: np.ndarray, active: np.ndarray, costs: np.ndarray, classes, steps: tuple, D: np.ndarray | None):
+    """fn(X, y, sw) -> [f, g, H of every active problem, f at shorter steps] for all candidates at once.
+    ``W`` and ``D`` are (candidate, class, d), ``active`` (candidate, class), ``costs`` (candidate, class, label)."""
+    todo = np.argwhere(active)
+    d = W.shape[2]
+
+    def fn(X, y, sw):
+        Xb = np.hstack([X, np.ones((X.shape[0], 1))])
+        at = np.searchsorted(classes, y)
+        fs, gs, hs, fst = [], [], [], []
+        margins = Xb @ W[tuple(todo.T)].T
+        if steps:
+            slopes = Xb @ D[tuple(todo.T)].T
+        for t, (q, j) in enumerate(todo):
+            yy = np.where(y == classes[j], 1.0, -1.0)
+            ci = costs[q, j][at]
+            if sw is not None:
+                ci = ci * sw
+            m = margins[:, t]
+            viol = 1.0 - yy * m
+            act = viol > 0
+            fs.append(np.sum(ci[act] * viol[act] ** 2))
+            gs.append(2.0 * Xb[act].T @ (ci[act] * (m[act] - yy[act])))
+            Xa = Xb[act] * np.sqrt(ci[act])[:, None]
+            hs.append((2.0 * Xa.T @ Xa).ravel())
+            for s_ in steps:
+                v = 1.0 - yy * (m + s_ * slopes[:, t])
+                a = v > 0
+                fst.append(np.sum(ci[a] * v[a] ** 2))
+        return np.concatenate([np.array(fs), *gs, *hs, np.array(fst)])
+    return fn, todo, d
+
+
+def fit_sqhinge_grid(df: DataFrame, n_features: int, classes: Sequence[int], costs: Sequence[np.ndarray], tol: float = 1e-3,
+                     max_iter: int = 1000, feat: str = "features", label: str = "label", weight: str | None = None) -> list["LinearSVMModel"]:
+    """One model per cost matrix (``class_costs``, ``row_costs``), all fitted in the same passes.
+
+    Generalized Newton: a pass returns f, g and H at the proposed full step and f at shorter
+    ones for every problem that has not converged, so an iteration of the whole grid is one Spark job
+    when the full steps are accepted (the usual case).  Problems leave the passes as they converge."""
+    classes = np.asarray(list(classes))
+    costs = np.stack([np.asarray(c, float) for c in costs])
+    n_cand, k, d = len(costs), len(classes), n_features + 1
+    W = np.zeros((n_cand, k, d))
+    f, g, H = np.zeros((n_cand, k)), np.zeros((n_cand, k, d)), np.zeros((n_cand, k, d, d))
+    hist: list[list[float]] = [[] for _ in range(n_cand)]
+
+    def stats_at(Wc, active, steps=(), D=None):
+        fn, todo, _ = _grid_stats(Wc, active, costs, classes, steps, D)
+        tot = tree_sum(_partials(df, feat, label, weight, fn))
+        n = len(todo)
+        if tot is None:
+            tot = np.zeros(n + n * d + n * d * d + n * len(steps))
+        at = tuple(todo.T)
+        w = Wc[at]
+        f_ = tot[:n] + 0.5 * np.sum(w ** 2, axis=1)
+        g_ = tot[n:n + n * d].reshape(n, d) + w
+        h_ = tot[n + n * d:n + n * d + n * d * d].reshape(n, d, d) + np.eye(d)[None]
+        return at, f_, g_, h_, tot[n + n * d + n * d * d:].reshape(n, len(steps)) if steps else None
+
+    at, f[:], g[:], H[:] = (lambda r: (r[0], r[1].reshape(n_cand, k), r[2].reshape(n_cand, k, d), r[3].reshape(n_cand, k, d, d)))(
+        stats_at(W, np.ones((n_cand, k), bool)))
+    g0 = np.maximum(np.linalg.norm(g, axis=2), 1e-12)
+    stalled = np.zeros((n_cand, k), bool)     # no step along the Newton direction lowers the objective
     for _ in range(max_iter):
-        hist.append(float(f.sum()))
-        active = (np.linalg.norm(g, axis=1) > tol * g0) & ~stalled
+        for q in range(n_cand):
+            hist[q].append(float(f[q].sum()))
+        active = (np.linalg.norm(g, axis=2) > tol * g0) & ~stalled
         if not active.any():
             break
         D = np.zeros_like(W)
-        for j in range(k):
-            if active[j]:
-                D[j] = -np.linalg.solve(H[j], g[j])
+        for q, j in np.argwhere(active):
+            D[q, j] = -np.linalg.solve(H[q, j], g[q, j])
         short = STEPS[1:]
         # evaluated around W + D: offset (s - 1) D gives the point W + s D
-        f1, g1, H1, fst = stats_at(W + D, tuple(s_ - 1.0 for s_ in short), D)
-        accepted_full = True
-        Wn = W.copy()
-        for j in range(k):
-            if not active[j]:
+        at, f1, g1, h1, fst = stats_at(W + D, active, tuple(s_ - 1.0 for s_ in short), D)
+        again = np.zeros((n_cand, k), bool)
+        for t, (q, j) in enumerate(zip(*at)):
+            slope = g[q, j] @ D[q, j]
+            if f1[t] <= f[q, j] + 0.01 * slope:
+                W[q, j] += D[q, j]
+                f[q, j], g[q, j], H[q, j] = f1[t], g1[t], h1[t]
                 continue
-            slope = g[j] @ D[j]
-            if f1[j] <= f[j] + 0.01 * slope:
-                Wn[j] = W[j] + D[j]
-                continue
-            accepted_full = False
             for si, s_ in enumerate(short):
-                wn = W[j] + s_ * D[j]
-                fnew = fst[j, si] + 0.5 * wn @ wn
-                if fnew <= f[j] + 0.01 * s_ * slope:
-                    Wn[j] = wn
+                wn = W[q, j] + s_ * D[q, j]
+                if fst[t, si] + 0.5 * wn @ wn <= f[q, j] + 0.01 * s_ * slope:
+                    W[q, j] = wn
+                    again[q, j] = True
                     break
             else:
-                stalled[j] = True
-        W = Wn
-        if accepted_full:
-            f, g, H = f1, g1, H1
-        else:
-            f, g, H, _ = stats_at(W)
-    return _reported(LinearSVMModel(W, classes, hist, bool((np.linalg.norm(g, axis=1) <= tol * g0).all())), max_iter)
+                stalled[q, j] = True
+        if again.any():
+            at, f1, g1, h1, _ = stats_at(W, again)
+            f[at], g[at], H[at] = f1, g1, h1
+    done = (np.linalg.norm(g, axis=2) <= tol * g0).all(axis=1)
+    return [_reported(LinearSVMModel(W[q], classes.tolist(), hist[q], bool(done[q])), max_iter) for q in range(n_cand)]
+
+
+def fit_sqhinge_l2(df: DataFrame, n_features: int, classes: Sequence[int], C: float = 1.0,
+                   class_weight: Sequence[float] | None = None, tol: float = 1e-3,
+                   max_iter: int = 1000, feat: str = "features", label: str = "label",
+                   weight: str | None = None) -> LinearSVMModel:
+    """One candidate of ``fit_sqhinge_grid``."""
+    return fit_sqhinge_grid(df, n_features, classes, [class_costs(classes, C, class_weight)], tol, max_iter, feat, label, weight)[0]
+
+
+def confusions(df: DataFrame, models: Sequence[LinearSVMModel], feat: str = "features", label: str = "label") -> np.ndarray:
+    """(model, true class, predicted class) counts of all models in one pass."""
+    classes = np.asarray(models[0].classes)
+    W = np.stack([m.W for m in models])
+    k = len(classes)
+
+    def fn(X, y, sw):
+        at = np.searchsorted(classes, y)
+        return np.stack([np.bincount(at * k + np.argmax(X @ w[:, :-1].T + w[:, -1], axis=1), minlength=k * k) for w in W]).astype(float)
+    tot = tree_sum(_partials(df, feat, label, None, fn))
+    return np.zeros((len(models), k, k)) if tot is None else tot.reshape(len(models), k, k)
+
+
+def f1_of_confusion(counts: np.ndarray) -> float:
+    """Weighted F1 of a (true, predicted) count matrix; 0 for a class never hit."""
+    support, predicted, hit = counts.sum(axis=1), counts.sum(axis=0), np.diag(counts)
+    f1 = np.where(hit > 0, 2 * hit / np.maximum(support + predicted, 1), 0.0)
+    return float((support * f1).sum() / support.sum()) if support.sum() else 0.0
 
 
 def _reported(model: LinearSVMModel, max_iter: int) -> LinearSVMModel:
@@ -234,9 +308,10 @@ def _reported(model: LinearSVMModel, max_iter: int) -> LinearSVMModel:
     return model
 
 
-def _l1_newton_direction(w: np.ndarray, g: np.ndarray, H: np.ndarray, sweeps: int = 50,
+def _l1_newton_direction(w: np.ndarray, g: np.ndarray, H: np.ndarray, sweeps: int = 10_000,
                          tol: float = 1e-10) -> np.ndarray:
-    """Coordinate descent on  g.d + 0.5 d'Hd + |w + d|_1  (driver, d x d)."""
+    """Coordinate descent on  g.d + 0.5 d'Hd + |w + d|_1  (driver, d x d); an inexact direction is still a
+    direction of descent, and the outer loop goes on until its own tolerance."""
     d = np.zeros_like(w)
     Hd = np.zeros_like(w)
     diag = np.maximum(np.diag(H), 1e-12)
@@ -257,7 +332,7 @@ def _l1_newton_direction(w: np.ndarray, g: np.ndarray, H: np.ndarray, sweeps: in
 
 
 def fit_sqhinge_l1(df: DataFrame, n_features: int, classes: Sequence[int], C: float = 1.0,
-                   class_weight: Sequence[float] | None = None, max_iter: int = 100,
+                   class_weight: Sequence[float] | None = None, max_iter: int = 1000,
                    tol: float = 1e-4, feat: str = "features", label: str = "label") -> LinearSVMModel:
     """L1-penalised squared hinge: objective |w|_1 + sum C_i hinge^2.
 

@@ -113,6 +113,32 @@ for _name in P.MODELS:
     register(f"model_{_name}", None, "2.14")(_model_query(_name))
 
 
+def _trials(spark, name: str, phases) -> DataFrame:
+    """(model, phase, candidate, parameters, f1, converged, chosen) of every trial."""
+    rows = []
+    for phase, trials in phases:
+        chosen = P.best_of(trials)
+        for i, t in enumerate(trials):
+            p, c = t.candidate.prep, t.candidate.clf
+            lo, hi, thresh = p.skew or (None, None, None)
+            rows.append((name, phase, i, c.C, c.sample_alpha if c.sample_alpha is not None else c.alpha, c.loss, c.penalty, p.use_total_cost, p.use_prev_ratio,
+                         lo, hi, thresh, p.min_frequency, round(t.f1, 6), t.converged, i == chosen))
+    return spark.createDataFrame(rows, "model string, phase string, candidate int, C double, alpha double, loss string, penalty string, use_total_cost boolean, "
+                                       "use_prev_ratio boolean, p_low double, p_high double, skew double, min_frequency int, f1 double, converged boolean, chosen boolean")
+
+
+@register("sel_grid", None, "2.11")
+def sel_grid(spark, sf):
+    """Grid selection of composition E12: every candidate with its validation F1, the first best chosen."""
+    return _trials(spark, "E12", P.select_model("E12", train_test(spark, sf)[0])[1])
+
+
+@register("sel_two_phase", None, "2.11")
+def sel_two_phase(spark, sf):
+    """Two-phase selection of composition E14: features first, then C with the features fixed."""
+    return _trials(spark, "E14", P.select_model("E14", train_test(spark, sf)[0])[1])
+
+
 @register("fit_svm_sqhinge_l2", None, "2.10")
 def fit_svm_sqhinge_l2(spark, sf):
     tr, te = train_test(spark, sf)

@@ -6,8 +6,8 @@ categorical: mode impute + one-hot) -> ``features`` array -> classifier.
 
 Every stage is fitted with one aggregation on the training part and applied
 lazily.  Grid candidates that share a preprocessing spec share one fitted and
-persisted feature frame (the reference refits it per candidate); candidates
-are fitted concurrently from driver threads, each one a chain of Spark jobs.
+persisted feature frame (the reference refits it per candidate) and one chain of Newton passes
+that carries them all; preprocessings run side by side from driver threads.
 Selection maximises weighted F1 on a stratified 80/20 split (strict ``>``, so
 the first best candidate wins), then the winner is refitted on all rows.
 """
@@ -59,7 +59,7 @@ class Clf:
     alpha: float = 1.0                 # class-2 multiplier (class weight)
     sample_alpha: float | None = None  # E5: balanced row weights x alpha on class 2
     oversample: float | None = None    # E6: ratio n2 / n0
-    max_iter: int = 50
+    max_iter: int = 1000
 
 
 @dataclass
@@ -71,6 +71,11 @@ class FittedPrep:
     rff: object | None
     n_features: int
 
+    def release(self) -> None:
+        """Drops the cached tables of the fit."""
+        if self.ohe is not None:
+            self.ohe.codes.unpersist()
+
     def features(self, df: DataFrame) -> DataFrame:
         """(row_id, label?, weight?, features array<double>)."""
         x = _feature_stages(df, self.spec)
@@ -209,47 +214,89 @@ def _train_rows(train: DataFrame, clf: Clf) -> DataFrame:
     return train
 
 
-def evaluate(cands: Sequence[Candidate], tr: DataFrame, va: DataFrame, threads: int = 4) -> list[float]:
-    """Weighted F1 on ``va`` of every candidate fitted on ``tr``.
-    Candidates sharing (prep, oversample) share one persisted feature frame."""
-    cache: dict = {}
+@dataclass
+class Trial:
+    """A candidate with its validation score."""
+    candidate: Candidate
+    f1: float
+    converged: bool
 
-    def feats_for(c: Candidate):
-        key = (c.prep, c.clf.oversample)
-        if key not in cache:
-            rows = _train_rows(tr, c.clf)
-            fp = fit_prep(rows, c.prep)
-            ftr = fp.features(rows).persist(StorageLevel.MEMORY_AND_DISK)
-            fva = fp.features(va).persist(StorageLevel.MEMORY_AND_DISK)
-            cache[key] = (fp, ftr, fva)
-        return cache[key]
 
-    # preprocessing fits run first (sequential: each is a few small jobs)
-    for c in cands:
-        feats_for(c)
+def costs_of(clf: Clf, label_counts: dict[int, int]):
+    """Cost matrix of a squared-hinge candidate from the label counts of its training rows."""
+    n, k = sum(label_counts.values()), sum(1 for c in CLASSES if label_counts.get(c))
+    balanced = [n / (k * label_counts[c]) if label_counts.get(c) else 0.0 for c in CLASSES]
+    if clf.sample_alpha is not None:
+        return linear.row_costs(CLASSES, clf.C, [w * (clf.sample_alpha if c == 2 else 1.0) for c, w in zip(CLASSES, balanced)])
+    if clf.balanced:
+        return linear.class_costs(CLASSES, clf.C, [w * (clf.alpha if c == 2 else 1.0) for c, w in zip(CLASSES, balanced)])
+    return linear.class_costs(CLASSES, clf.C)
 
-    def run(c: Candidate) -> float:
-        fp, ftr, fva = feats_for(c)
-        model = fit_classifier(ftr, fp.n_features, c.clf)
-        return f1_weighted(model.transform(fva), "label", "prediction")
 
+def _evaluate_group(cands: Sequence[Candidate], tr: DataFrame, va: DataFrame) -> list[Trial]:
+    """Candidates of one preprocessing: one fitted feature frame, one chain of passes that carries all
+    squared-hinge candidates, one scoring pass.  The frames are released at the end."""
+    rows = _train_rows(tr, cands[0].clf)
+    fp = fit_prep(rows, cands[0].prep)
+    ftr = fp.features(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    fva = fp.features(va).persist(StorageLevel.MEMORY_AND_DISK)
+    out: dict[int, Trial] = {}
+    together = [i for i, c in enumerate(cands) if c.clf.loss == "squared_hinge" and c.clf.penalty == "l2"]
+    if together:
+        counts = {r["label"]: r["n"] for r in ftr.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+        models = linear.fit_sqhinge_grid(ftr, fp.n_features, CLASSES, [costs_of(cands[i].clf, counts) for i in together],
+                                         max_iter=max(cands[i].clf.max_iter for i in together))
+        for i, m, table in zip(together, models, linear.confusions(fva, models)):
+            out[i] = Trial(cands[i], linear.f1_of_confusion(table), m.converged)
+    for i, c in enumerate(cands):
+        if i not in out:
+            model = fit_classifier(ftr, fp.n_features, c.clf)
+            out[i] = Trial(c, f1_weighted(model.transform(fva), "label", "prediction"), getattr(model, "converged", True))
+    ftr.unpersist()
+    fva.unpersist()
+    fp.release()
+    return [out[i] for i in range(len(cands))]
+
+
+def evaluate(cands: Sequence[Candidate], tr: DataFrame, va: DataFrame, threads: int = 4) -> list[Trial]:
+    """Weighted F1 on ``va`` of every candidate fitted on ``tr``, in order.  Preprocessings are independent
+    chains of small jobs and share the cluster's free slots; at most ``threads`` hold frames at a time."""
+    groups: dict = {}
+    for i, c in enumerate(cands):
+        groups.setdefault((c.prep, c.clf.oversample), []).append(i)
     with ThreadPoolExecutor(max_workers=threads) as ex:
-        scores = list(ex.map(run, cands))
-    for _, ftr, fva in cache.values():
-        ftr.unpersist()
-        fva.unpersist()
-    return scores
+        parts = list(ex.map(lambda at: _evaluate_group([cands[i] for i in at], tr, va), groups.values()))
+    out = {i: t for at, ts in zip(groups.values(), parts) for i, t in zip(at, ts)}
+    return [out[i] for i in range(len(cands))]
 
 
-def select(cands: Sequence[Candidate], labeled: DataFrame, seed: int = 43) -> tuple[Candidate, list[float]]:
-    sp = stratified_split(labeled, "label", 20, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    scores = evaluate(cands, sp.where(~F.col("is_val")).drop("is_val"), sp.where("is_val").drop("is_val"))
+def best_of(trials: Sequence[Trial]) -> int:
     best = 0
-    for i, s in enumerate(scores):
-        if s > scores[best]:   # strict: the first best wins
+    for i, t in enumerate(trials):
+        if t.f1 > trials[best].f1:   # strict: the first best wins
             best = i
+    return best
+
+
+def select(cands: Sequence[Candidate], labeled: DataFrame, seed: int = 43) -> tuple[Candidate, list[Trial]]:
+    sp = stratified_split(labeled, "label", 20, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    trials = evaluate(cands, sp.where(~F.col("is_val")).drop("is_val"), sp.where("is_val").drop("is_val"))
     sp.unpersist()
-    return cands[best], scores
+    return cands[best_of(trials)], trials
+
+
+def select_model(name: str, labeled: DataFrame) -> tuple[Candidate, list[tuple[str, list[Trial]]]]:
+    """Winner of a composition's grid and, if it has one, of its second phase; the trials by phase."""
+    cands = grid(name)
+    if len(cands) == 1:
+        return cands[0], []
+    best, trials = select(cands, labeled)
+    phases = [("A", trials)]
+    more = phase_b(name, best)
+    if more:
+        best, trials = select(more, labeled)
+        phases.append(("B", trials))
+    return best, phases
 
 
 def fit_and_predict(labeled_train: DataFrame, test: DataFrame, cand: Candidate) -> DataFrame:
@@ -304,7 +351,7 @@ def grid(name: str) -> list[Candidate] | tuple:
                     for (pl, ph) in ((1.0, 99.0), (2.0, 98.0)) for c in cs])
     if name == "E15":
         return _g(*[Candidate(Prep(domain=True, skew=(2.0, 98.0, 1.0), with_mean=True, use_cats=uc,
-                                   min_frequency=10, rff=(n, g)), Clf(C=c, max_iter=50))
+                                   min_frequency=10, rff=(n, g)), Clf(C=c))
                     for uc in (True, False) for n in (300, 600) for g in (0.5, 1.0, 2.0)
                     for c in (0.5, 1.0, 2.0)])
     raise KeyError(name)
@@ -322,19 +369,8 @@ def phase_b(name: str, best: Candidate) -> list[Candidate]:
 MODELS = ("B", "E2", "E3", "E4", "E5", "E6", "E7", "E9", "E10", "E11", "E12", "E13", "E14", "E15")
 
 
-def run_model(name: str, labeled_train: DataFrame, test: DataFrame) -> tuple[DataFrame, dict]:
+def run_model(name: str, labeled_train: DataFrame, test: DataFrame) -> tuple[DataFrame, list]:
     """load + predict of one composition: select on an 80/20 split of the
     training rows, refit on all of them, score ``test``."""
-    cands = grid(name)
-    info = {"model": name, "candidates": len(cands)}
-    if len(cands) == 1:
-        best = cands[0]
-    else:
-        best, scores = select(cands, labeled_train)
-        info["scores"] = scores
-        more = phase_b(name, best)
-        if more:
-            best, scores_b = select(more, labeled_train)
-            info["scores_b"] = scores_b
-    info["best"] = best
-    return fit_and_predict(labeled_train, test, best), info
+    best, phases = select_model(name, labeled_train)
+    return fit_and_predict(labeled_train, test, best), phases

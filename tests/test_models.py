@@ -52,3 +52,71 @@ def test_scoring_invariant_under_repartition(spark):
     a = m.transform(df).select("row_id", "prediction")
     b = m.transform(df.repartition(7)).select("row_id", "prediction")
     assert a.exceptAll(b).count() == 0
+
+
+def _newton(X, y, cost, tol=1e-9):
+    """Direct minimiser of one squared-hinge problem; ``cost`` by row."""
+    Xb = np.hstack([X, np.ones((len(X), 1))])
+    w = np.zeros(Xb.shape[1])
+
+    def obj(v):
+        return 0.5 * v @ v + np.sum(cost * np.maximum(0, 1 - y * (Xb @ v)) ** 2)
+    for _ in range(200):
+        m = Xb @ w
+        a = y * m < 1
+        g = w + 2 * Xb[a].T @ (cost[a] * (m[a] - y[a]))
+        if np.linalg.norm(g) < tol:
+            break
+        d = -np.linalg.solve(np.eye(len(w)) + 2 * (Xb[a] * cost[a][:, None]).T @ Xb[a], g)
+        s = 1.0
+        while obj(w + s * d) > obj(w) + 1e-4 * s * (g @ d) and s > 1e-10:
+            s /= 2
+        w = w + s * d
+    return w
+
+
+def test_grid_fit_reaches_every_optimum(spark):
+    """All candidates of one chain of passes equal direct solutions; labels may weigh by class or by row."""
+    df, X, y = _data(spark, 600, 3)
+    df = df.repartition(3).persist()
+    cw, rw = [1.0, 1.7, 0.6], [0.5, 1.0, 2.5]
+    costs = [linear.class_costs([0, 1, 2], c, cw) for c in (0.1, 1.0, 10.0)] + [linear.row_costs([0, 1, 2], 0.7, rw)]
+    models = linear.fit_sqhinge_grid(df, 4, [0, 1, 2], costs, tol=1e-8)
+    assert all(m.converged for m in models)
+    for cost, m in zip(costs, models):
+        for j in range(3):
+            want = _newton(X, np.where(y == j, 1.0, -1.0), cost[j][y])
+            assert np.allclose(m.W[j], want, atol=1e-5)
+    tables = linear.confusions(df, models)
+    from tablecraft.operators.metrics import f1_weighted
+    for m, t in zip(models, tables):
+        assert t.sum() == 600 and abs(linear.f1_of_confusion(t) - f1_weighted(m.transform(df))) < 1e-12
+
+
+def test_unfinished_fits_say_so(spark):
+    import pytest
+    df, _, _ = _data(spark, 300, 4)
+    with pytest.warns(RuntimeWarning):
+        m = linear.fit_sqhinge_grid(df, 4, [0, 1, 2], [linear.class_costs([0, 1, 2], 5.0)], tol=1e-12, max_iter=1)
+    assert not m[0].converged
+
+
+def test_selection_keeps_every_trial(spark):
+    """Candidates of one preprocessing share frames and passes; scores equal separate fits, in order."""
+    from pyspark.sql import functions as F
+    from tablecraft.plans import pipelines as P
+    df, X, y = _data(spark, 600, 5)
+    flat = df.select("row_id", "label", *[F.col("features")[j].alias(f"x{j}") for j in range(4)], F.when(F.col("row_id") % 3 == 0, "a").otherwise("b").alias("cat"))
+    tr, va = flat.filter("row_id % 4 > 0").persist(), flat.filter("row_id % 4 = 0").persist()
+    wide, rare = P.Prep(), P.Prep(min_frequency=10)
+    cands = [P.Candidate(wide, P.Clf(C=1.0)), P.Candidate(rare, P.Clf(C=0.1)), P.Candidate(wide, P.Clf(C=0.01)), P.Candidate(wide, P.Clf(penalty="l1")),
+             P.Candidate(rare, P.Clf(balanced=False, sample_alpha=2.0))]
+    together = P.evaluate(cands, tr, va)
+    assert [t.candidate for t in together] == cands and all(t.converged for t in together)
+    alone = [P.evaluate([c], tr, va)[0].f1 for c in cands]
+    assert np.allclose([t.f1 for t in together], alone)
+    # row weights as a column give the same model as the cost matrix
+    fp = P.fit_prep(tr, rare)
+    m = P.fit_classifier(fp.features(tr), fp.n_features, cands[4].clf)
+    from tablecraft.operators.metrics import f1_weighted
+    assert abs(f1_weighted(m.transform(fp.features(va))) - together[4].f1) < 1e-9
