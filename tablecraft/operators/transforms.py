@@ -32,25 +32,39 @@ def _replace(df: DataFrame, exprs: dict[str, Column], drop: Sequence[str] = ())
 # quantile clipping + selective log
 # --------------------------------------------------------------------------
 
+@dataclass(frozen=True)
+class ColumnRule:
+    """What happens to one column: clipped to [lo, hi], then log1p if ``log``."""
+    lo: float
+    hi: float
+    log: bool
+
+    def of(self, c: str) -> Column:
+        value = clip(F.col(c).cast("double"), self.lo, self.hi)
+        return log1p_pos(value) if self.log else value
+
+
 @dataclass
 class SkewClipLogState:
-    bounds: dict[str, tuple[float, float]]
-    log_cols: list[str]
-    counts: dict[str, int] | None = None
+    rules: dict[str, ColumnRule]
+    counts: dict[str, int] | None = None      # non-null values: clip and log keep nulls
+
+    @property
+    def bounds(self) -> dict[str, tuple[float, float]]:
+        return {c: (r.lo, r.hi) for c, r in self.rules.items()}
+
+    @property
+    def log_cols(self) -> list[str]:
+        return [c for c, r in self.rules.items() if r.log]
 
     def apply(self, df: DataFrame) -> DataFrame:
-        exprs = {}
-        for c, (lo, hi) in self.bounds.items():
-            if c in df.columns:
-                exprs[c] = clip(F.col(c).cast("double"), lo, hi)
-        for c in self.log_cols:
-            if c in df.columns:
-                exprs[c] = log1p_pos(exprs.get(c, F.col(c)))
-        return _replace(df, exprs)
+        return _replace(df, {c: rule.of(c) for c, rule in self.rules.items() if c in df.columns})
 
 
 @dataclass
 class SkewClipLog:
+    """Bounds are exact quantiles; columns without a range stay as they are.  A column that is nowhere negative and
+    skewed beyond the threshold, both as measured before clipping, gets the logarithm."""
     p_low: float = 1.0
     p_high: float = 99.0
     skew_thresh: float = 1.0
@@ -61,23 +75,15 @@ class SkewClipLog:
             raise ValueError("need 0 <= p_low < p_high <= 100")
 
     def fit(self, df: DataFrame) -> SkewClipLogState:
-        cols = list(self.columns) if self.columns is not None else stats.numeric_columns(df)
-        prof = stats.column_profile(df, cols)
-        q = stats.exact_quantiles(df, cols, [self.p_low / 100.0, self.p_high / 100.0],
-                                  counts={c: prof[c]["n"] for c in cols})
-        bounds, logs = {}, []
-        for c in cols:
-            lo, hi = q[c]
-            if lo is None or hi is None or not lo < hi:
-                continue
-            bounds[c] = (lo, hi)
-            sk = prof[c]["skew"]
-            # both measured before clipping
-            if prof[c]["min"] >= 0.0 and sk is not None and not math.isnan(sk) \
-                    and abs(sk) > self.skew_thresh:
-                logs.append(c)
-        # clip and log keep nulls as nulls: non-null counts carry over
-        return SkewClipLogState(bounds, logs, counts={c: prof[c]["n"] for c in cols})
+        cols = stats.numeric_columns(df) if self.columns is None else list(self.columns)
+        seen = stats.column_profile(df, cols)
+        counts = {c: seen[c]["n"] for c in cols}
+        ranges = stats.exact_quantiles(df, cols, [self.p_low / 100.0, self.p_high / 100.0], counts=counts)
+
+        def skewed(c: str) -> bool:
+            g = seen[c]["skew"]
+            return g is not None and abs(g) > self.skew_thresh and seen[c]["min"] >= 0.0    # NaN is not above
+        return SkewClipLogState({c: ColumnRule(*r, skewed(c)) for c, r in ranges.items() if None not in r and r[0] < r[1]}, counts)
 
 
 # --------------------------------------------------------------------------
