@@ -82,6 +82,15 @@ def test_summaries_bound_what_they_lose():
     assert all(kept.get(k, 0) <= c <= kept.get(k, 0) + lost[block[k]] for k, c in true.items())
 
 
+def test_bytes_of_counters():
+    from tablecraft.llm.phrases import from_bytes, to_bytes
+    h = np.unique(np.random.default_rng(0).integers(0, 1 << 40, 1000, dtype=np.uint64)) << np.uint64(24)
+    n = np.arange(len(h)) * 4_000_000
+    for k in (0, 1, len(h)):
+        got = from_bytes(to_bytes(h[:k], n[:k], np.uint64(24)), np.uint64(24))
+        assert (got[0] == h[:k]).all() and (got[1] == n[:k]).all() and len(got[0]) == k
+
+
 def test_bitmap_places(spark):
     from tablecraft.llm.phrases import bitmap, set_in
     h = np.array([0, 1, (1 << 63), (1 << 64) - 1, 123456789 << 32], np.uint64)
