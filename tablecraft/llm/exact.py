@@ -11,7 +11,7 @@ only proposes, the comparison decides.
 
 Defined results: null counts as the empty text; of equal texts the row with the
 largest ``doc_id`` stays (null ids sort lowest); of fully repeated rows one
-stays.  An empty table gives an empty result.
+stays.  An empty table gives an empty result.  Columns of any name are carried.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .textops import flat, slices
+from .textops import flat, named_back, numbered, slices
 
 CHUNK = 4096                      # hashed unit
 COMPARE_BYTES = 1 << 18           # compared unit
@@ -151,12 +151,14 @@ def exact_classes(docs: DataFrame, text: str = "text", moduli=MODULI, bases=BASE
 
 
 def exact_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows that stay, with their own columns."""
-    classes = exact_classes(docs, text).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("copies").alias("__copies"))
-    tagged = docs.withColumn("__key", F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
-    once = tagged.join(classes.filter("__copies = 1"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")), "left_semi").drop("__key")
-    again = tagged.join(classes.filter("__copies > 1"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")), "left_semi")
-    return once.unionByName(again.dropDuplicates(["doc_id", "__key"]).drop("__key"))
+    """The rows that stay, with their own columns, whatever those are called."""
+    rows, place = numbered(docs)
+    stays = exact_classes(docs, text).filter("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha"), "copies")
+    tagged = rows.withColumn("sha", F.sha2(F.coalesce(F.col(place[text]), F.lit("")), 256))
+    same = F.col(place["doc_id"]).eqNullSafe(F.col("stay_id")) & (F.col("sha") == F.col("stay_sha"))
+    once = tagged.join(stays.filter("copies = 1"), same, "left_semi")
+    again = tagged.join(stays.filter("copies > 1"), same, "left_semi").dropDuplicates([place["doc_id"], "sha"])
+    return named_back(once.unionByName(again), place)
 
 
 def op6_exact_dedup(spark, sf_dir) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .exchange import Forest, block_of, components, first_of, n_blocks, pack, text_bytes, unpack
-from .textops import LOWER, edges, mix, ranges, run_starts, span_hash, text_slices
+from .textops import LOWER, edges, mix, named_back, numbered, ranges, run_starts, span_hash, text_slices
 
 NGRAM = 5
 PERCENT = 75
@@ -399,14 +399,17 @@ def jaccard_components(docs: DataFrame, text: str = "text", **params) -> DataFra
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _with_classes(text: str, ngram: int):
-    """Rows with ``__id, __null, __cls, __n``; of a slice's rows of one id and class the first.  Rows without shingles all stay, told apart by place."""
+_CLASS = T.StructType([T.StructField("id", T.LongType()), T.StructField("null", T.BooleanType()), T.StructField("cls", T.LongType()), T.StructField("n", T.LongType())])
+
+
+def _with_classes(text: str, doc_id: str, ngram: int):
+    """Rows with the columns of ``_CLASS``; of a slice's rows of one id and class the first.  Rows without shingles all stay, told apart by place."""
     def run(batches):
         for rows, data, offs in text_slices(batches, text):
             sets = shingle_sets(data, offs, ngram)
             size = np.array([len(x) for x in sets], np.int64)
             cls = np.array([class_key(x) if len(x) else k for k, x in enumerate(sets)], np.int64)
-            ids = rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64())
+            ids = rows.column(rows.schema.get_field_index(doc_id)).cast(pa.int64())
             null = ids.is_null().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy()
             order = np.lexsort((size == 0, ids, null, cls))
@@ -414,22 +417,22 @@ def _with_classes(text: str, ngram: int):
             a, b = order[:-1], order[1:]
             again[b] = (cls[a] == cls[b]) & (null[a] == null[b]) & (ids[a] == ids[b]) & (size[b] > 0)
             got = pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids), pa.array(null), pa.array(cls), pa.array(size)],
-                                             names=[*rows.schema.names, "__id", "__null", "__cls", "__n"])
+                                             names=[*rows.schema.names, *_CLASS.names])
             yield got.filter(pa.array(~again))
     return run
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", ngram: int = NGRAM, **params) -> DataFrame:
-    """One row of each component stays: the one with the smallest id, null last, then the smallest class key."""
+    """One row of each component stays: the one with the smallest id, null last, then the smallest class key.  Columns of any name are carried."""
     _, named = _labelled(docs, text, ngram, **params)
     stays = named.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("min_id").isNull().alias("null"), "min_id", "cls")).alias("s")) \
-        .select(F.coalesce("s.min_id", F.lit(0).cast("long")).alias("__id"), F.col("s.null").alias("__null"), F.col("s.cls").alias("__cls"), F.lit(True).alias("__stays"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("__id", T.LongType()), T.StructField("__null", T.BooleanType()),
-                           T.StructField("__cls", T.LongType()), T.StructField("__n", T.LongType())])
-    key = ["__id", "__null", "__cls"]
-    rows = docs.mapInArrow(_with_classes(text, ngram), schema).join(stays, key, "left").filter("__n = 0 or __stays")
+        .select(F.coalesce("s.min_id", F.lit(0).cast("long")).alias("id"), F.col("s.null").alias("null"), F.col("s.cls").alias("cls"), F.lit(True).alias("stays"))
+    rows, place = numbered(docs)
+    key = ["id", "null", "cls"]
+    rows = rows.mapInArrow(_with_classes(place[text], place["doc_id"], ngram), T.StructType([*rows.schema.fields, *_CLASS.fields])) \
+        .join(stays, key, "left").filter("n = 0 or stays")
     one = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
-    return rows.withColumn("__one", one).filter("__n = 0 or __one = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return named_back(rows.withColumn("one", one).filter("n = 0 or one = 1"), place)
 
 
 def op2_jaccard_join(spark, sf_dir) -> DataFrame:

@@ -15,7 +15,7 @@ Randomness is a hash of (seed, doc_id) and groups are filled by hash of doc_id,
 so reruns and other partitionings agree.  Defined results: null text has size 0
 and is never taken; a source whose documents are all empty has target 0; null
 sources form one source ranked last; repeated rows are rounded each on its own;
-an empty table gives an empty plan.
+an empty table gives an empty plan.  ``mix_documents`` carries columns of any name.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .textops import named_back, numbered
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3.0
@@ -164,19 +165,17 @@ def mix_documents(docs: DataFrame, text: str = "text", **params) -> DataFrame:
     The plan joins on (doc_id, source, size).  Rows that share all three share
     their copies: each gets the mean number of copies, the remainder by text order.
     """
-    plan = mixing_plan(docs, text, **params)
-    key = ["__id", "__source", "__size"]
-    plan = plan.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")) \
-        .agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).filter("__copies > 0")
-    size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
-    cond = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (size == F.col("__size"))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    one = docs.join(plan.filter("__rows = 1"), cond).select(*own, F.col("__copies").alias("__n"))
-    many = docs.join(plan.filter("__rows > 1"), cond)
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col(f"`{text}`"))) - 1
-    many = many.withColumn("__n", F.expr("__copies div __rows") + F.when(rank < F.pmod("__copies", "__rows"), 1).otherwise(0)).select(*own, "__n")
-    both = one.unionByName(many).filter("__n > 0")
-    return both.withColumn("__c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*own)
+    rows, place = numbered(docs)
+    key = ["doc_id", "source", "size"]
+    plan = mixing_plan(docs, text, **params).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("alike")).filter("copies > 0")
+    words = F.coalesce(F.regexp_count(F.col(place[text]), F.lit(WORD)), F.lit(0)).cast("long")
+    cond = F.col(place["doc_id"]).cast("long").eqNullSafe(F.col("doc_id")) & F.col(place["source"]).cast("string").eqNullSafe(F.col("source")) & (words == F.col("size"))
+    one = rows.join(plan.filter("alike = 1"), cond).select(*rows.columns, F.col("copies").alias("n"))
+    many = rows.join(plan.filter("alike > 1"), cond)
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col(place[text]))) - 1
+    many = many.withColumn("n", F.expr("copies div alike") + F.when(rank < F.pmod("copies", "alike"), 1).otherwise(0)).select(*rows.columns, "n")
+    both = one.unionByName(many).filter("n > 0")
+    return named_back(both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))), place)
 
 
 def op3_mix_sources(spark, sf_dir) -> DataFrame:

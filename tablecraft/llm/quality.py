@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import IS_CHAR, IS_WORD, edges, mix, per_row, run_starts, span_hash, text_slices
+from .textops import IS_CHAR, IS_WORD, edges, mix, named_back, numbered, per_row, run_starts, span_hash, text_slices
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -134,11 +134,9 @@ def filter_quality(docs: DataFrame, version: str = "v1") -> DataFrame:
 
     Measurements are taken beside the whole row, so no join back is needed.
     """
-    clash = [c for c in docs.columns if c in MEASURES + ("fail_bits", "kept")]
-    work = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(docs.columns)]) if clash else docs
-    text = f"in_{docs.columns.index('text')}" if clash else "text"
-    led = apply_policy(quality_ledger(work, text, keep=work.columns), version).filter("kept")
-    return led.select(*[F.col(f"`{w}`").alias(c) for w, c in zip(work.columns, docs.columns)])
+    rows, place = numbered(docs)
+    led = apply_policy(quality_ledger(rows, place["text"], keep=rows.columns), version)
+    return named_back(led.filter("kept"), place)
 
 
 # --------------------------------------------------------------- query

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .exchange import block_of, first_of, n_blocks, pack, text_bytes, unpack
-from .textops import edges, mix, run_starts, span_hash, text_slices
+from .textops import edges, mix, named_back, numbered, quoted, run_starts, span_hash, text_slices
 
 ENDERS = ".!?;:,"
 RUN = 3
@@ -169,7 +169,7 @@ def _cut(columns: list[str], text: str):
             first = np.searchsorted(row, np.arange(len(offs)))
             raw, cut = data.tobytes(), offs.tolist()
             texts, total, removed, spans = [], [], [], []
-            for k, parts in enumerate(rows.column(rows.schema.get_field_index("__at")).to_pylist()):
+            for k, parts in enumerate(rows.column(rows.schema.get_field_index("at")).to_pylist()):
                 a, b = int(first[k]), int(first[k + 1])
                 drop = np.zeros(b - a, bool)
                 for p in {q for part in parts or [] for q in part}:
@@ -193,19 +193,18 @@ def _cut(columns: list[str], text: str):
 
 def drop_repeated_sentences(docs: DataFrame, text: str = "text", run: int | None = RUN, min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with repeated spans removed from their texts, and ``n_sentences, n_removed, n_spans``."""
-    columns = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "n_spans")]
-    digest = F.conv(F.substring(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))), 1, 16), 16, -10).cast("long")
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), digest.alias("digest"))
+    counts = ("n_sentences", "n_removed", "n_spans")
+    rows, place = numbered(docs.select(*[quoted(c) for c in docs.columns if c not in counts]))
+    digest = F.conv(F.substring(F.md5(F.coalesce(F.col(place[text]), F.lit(""))), 1, 16), 16, -10).cast("long")
+    doc_id = F.col(place["doc_id"]).cast("long")
+    src = rows.select(doc_id.alias("doc_id"), F.col(place[text]).alias("text"), digest.alias("digest"))
     blocks = n_blocks(text_bytes(src), block_bytes)
     later = src.mapInArrow(_run_pass(blocks, run, min_words), "block long, payload binary, done binary") \
         .groupBy("block").applyInArrow(_later, "id long, digest long, at array<long>") \
-        .groupBy("id", "digest").agg(F.collect_list("at").alias("__at")) \
-        .select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "__at")
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    joined = docs.select(*[F.col(f"`{c}`") for c in columns]).join(later, (own == F.col("__id")) & (digest == F.col("__digest")), "left") \
-        .select(*[F.col(f"`{c}`") for c in columns], "__at")
-    schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField(c, T.LongType()) for c in ("n_sentences", "n_removed", "n_spans")])
-    return joined.mapInArrow(_cut(columns, text), schema)
+        .groupBy("id", "digest").agg(F.collect_list("at").alias("at"))
+    joined = rows.join(later, (F.coalesce(doc_id, F.lit(-(1 << 63))) == F.col("id")) & (digest == F.col("digest")), "left").select(*rows.columns, "at")
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.LongType()) for c in counts]])
+    return named_back(joined.mapInArrow(_cut(rows.columns, place[text]), schema), place | {c: c for c in counts})
 
 
 def op5_sentence_spans(spark, sf_dir) -> DataFrame:

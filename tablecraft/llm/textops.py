@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 
@@ -27,6 +29,25 @@ _RINV = np.uint64(pow(int(_R), -1, 1 << 64))
 _BYTE = (np.random.default_rng(20240501).integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
+def quoted(name: str):
+    """A column by its literal name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with columns named by position (``in_0``, ...), and that name of each column.
+
+    Beside such columns an operator's own names meet no column of the caller.
+    """
+    place = {c: f"in_{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*[quoted(c).alias(n) for c, n in place.items()]), place
+
+
+def named_back(rows: DataFrame, place: dict[str, str]) -> DataFrame:
+    """The caller's columns under their names again; all others go."""
+    return rows.select(*[F.col(n).alias(c) for c, n in place.items()])
+
+
 def flat(col) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a text column; a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):

@@ -13,7 +13,7 @@ def test_empty_tables(spark, empty):
     from tablecraft.llm import chat, exact, jaccard, mixing, packing, quality, sentences, suffix, tokens, toxicity
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    for df in (chat.format_chats(turns), exact.exact_classes(empty), exact.exact_dedup(empty), jaccard.jaccard_components(empty),
+    for df in (chat.format_chats(turns), exact.exact_classes(empty), exact.exact_dedup(empty), jaccard.jaccard_components(empty), jaccard.drop_near_copies(empty),
                mixing.mixing_plan(empty), mixing.mix_documents(empty), packing.pack_documents(empty), quality.quality_ledger(empty),
                quality.filter_quality(empty), sentences.drop_repeated_sentences(empty), suffix.repeated_spans(empty), tokens.with_token_counts(empty),
                toxicity.score_chain(empty, toxicity.fit_chain(empty, labels))):
@@ -107,3 +107,46 @@ def test_toxicity_edges(spark, edge):
     labels = spark.createDataFrame([(i, 1, int(i in (7, 8))) for i in range(1, 15)] + [(None, 1, 0), (4, 1, 0), (99, None, None)], "doc_id long, quality int, toxic int")
     scored = rows(score_chain(edge, fit_chain(edge, labels, min_docs=1)))
     assert len(scored) == len(EDGE) and all(0 <= r.p_toxic <= 1 for r in scored)
+
+
+NAMES = ("__id", "__cls", "__n", "__key", "__sha", "__one", "__c", "__copies", "__rows", "__at", "__digest", "__null", "__stays", "id", "null", "cls", "n", "one", "stays",
+         "sha", "stay_id", "stay_sha", "copies", "copy", "alike", "size", "at", "digest", "in_0", "in_1", "kept", "fail_bits", "n_words", "fp", "n_bytes", "root", "a.b", "tick`s")
+
+
+def test_every_column_name_is_carried(edge):
+    """Each stage gives back a caller's columns of any name, its own working names included, with their values."""
+    from tablecraft.llm.exact import exact_dedup
+    from tablecraft.llm.jaccard import drop_near_copies
+    from tablecraft.llm.mixing import mix_documents
+    from tablecraft.llm.quality import filter_quality
+    from tablecraft.llm.sentences import drop_repeated_sentences
+    from tablecraft.llm.textops import quoted
+    wide = edge.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in NAMES])
+    for stage in (filter_quality, exact_dedup, drop_near_copies, mix_documents, drop_repeated_sentences):
+        plain = stage(edge)
+        got = stage(wide)
+        assert set(edge.columns) | set(NAMES) <= set(got.columns)
+        have = sorted((repr(r) for r in got.select(*edge.columns).collect()))
+        assert have == sorted(repr(r) for r in plain.select(*edge.columns).collect()), stage.__name__
+        for r in got.select("doc_id", *[quoted(c) for c in NAMES]).collect():
+            assert list(r)[1:] == [None if r.doc_id is None else f"{c}{r.doc_id}" for c in NAMES], stage.__name__
+
+
+def test_chat_null_conversation(spark):
+    """Rows without conv_id are one conversation."""
+    from tablecraft.llm.chat import format_chats
+    turns = spark.createDataFrame([(None, 0, "user", "hi"), (None, 1, "assistant", None), (None, 2, "assistant", "yes")],
+                                  "conv_id long, turn long, role string, text string")
+    assert len(rows(format_chats(turns))) == 2
+
+
+def test_pipeline_on_edges(spark, edge, empty, tmp_path):
+    """An empty table gives no pieces; with rows to keep and clashing columns the stages run through."""
+    import corpus_pipeline as P
+    empty.write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert rows(P.run(spark, f"{tmp_path}/none")) == []
+    extra = [c for c in NAMES if c not in ("a.b", "tick`s")]
+    edge.select("*", *[F.lit(1).alias(c) for c in extra]).write.parquet(f"{tmp_path}/wide/documents.parquet")
+    edge.write.parquet(f"{tmp_path}/plain/documents.parquet")
+    wide, plain = (sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in rows(P.run(spark, f"{tmp_path}/{d}"))) for d in ("wide", "plain"))
+    assert wide == plain and {d for d, *_ in plain} <= {11, 12}
