@@ -4,6 +4,13 @@ Each stage takes what the one before kept, written as Parquet and read again:
 quality rules reject documents, exact copies go, of near copies one stays, sources
 are mixed to their target weights (documents repeated by their copies), and the
 mix is packed into sequences.
+
+Defined results: a null, empty or short text has too few words and is rejected;
+long texts go through whole.  Of equal texts the largest doc_id stays (null
+lowest), of near copies the smallest (null last); repeated rows are one copy,
+and the mix may take a document up to three times.  An empty table gives no
+pieces.  All columns of ``documents``, whatever their names and however many,
+are carried to the last stage, which returns pieces.
 """
 
 from __future__ import annotations
