@@ -44,6 +44,7 @@ LENGTH = 400
 GRAM = 64
 SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 24 << 20
+PLACE_BITS = np.uint64(32)         # of a slice's places; a slice is 1 or 2 MiB, or one longer text
 _T = np.random.default_rng(99).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 # one factor per doubling, all 3 modulo 4: differences of equal strings keep their high bits
 _A = (np.random.default_rng(98).integers(0, 1 << 61, 16, dtype=np.uint64) << np.uint64(2)) | np.uint64(3)
@@ -86,8 +87,8 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
     if not valid.any():
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     g = window_hash(data, gram)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    # a fixed share of the bits is the place, so equal windows break ties alike in slices of any size
+    low = (np.uint64(1) << PLACE_BITS) - np.uint64(1)
     m = (g & ~low) | np.arange(len(g), dtype=np.uint64)
     width, size = length - gram + 1, 1
     while size * 2 <= width:
@@ -318,7 +319,8 @@ def _shard_pass(blocks: int, length: int, gram: int):
             # repeats inside the shard are settled; one window of each string goes on to meet other shards
             s, e = _within(*union(twice, twice + length), offs)
             d = np.searchsorted(offs, s, "right") - 1
-            done = pack(cls=cls[d], s=(s - offs[d]), e=(e - offs[d])) if len(s) else None
+            # they meet nothing in a block, so they are dealt by class
+            done = _by_class(blocks, cls[d], s - offs[d], e - offs[d])
             p = np.concatenate([single, heads])
             known = np.concatenate([np.zeros(len(single), bool), np.ones(len(heads), bool)])
             order = np.argsort(fp[p])
@@ -326,14 +328,22 @@ def _shard_pass(blocks: int, length: int, gram: int):
             d = np.searchsorted(offs, p, "right") - 1
             rel = np.where(known, _NOWHERE, p - offs[d]).astype(np.uint32)
             ids, out = _blocked(blocks, fp[p], d, cls, rel=rel)
-            if done:
-                ids.append(int(ids[0]) if ids else 0)
-                out.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary()),
-                                              pa.array([None] * (len(ids) - bool(done)) + [done] * bool(done), pa.binary())], names=_MATCH.names)
+            sent = dict(zip(ids, out))
+            keys = sorted({*sent, *done})
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([sent.get(k) for k in keys], pa.binary()),
+                                              pa.array([done.get(k) for k in keys], pa.binary())], names=_MATCH.names)
     return run
 
 
+def _by_class(blocks: int, cls: np.ndarray, s: np.ndarray, e: np.ndarray) -> dict[int, bytes]:
+    """The intervals of each block that a class is dealt to."""
+    at = block_of(mix(cls.view(np.uint64)), blocks)
+    order = np.argsort(at, kind="stable")
+    start = run_starts(at[order])
+    return {int(at[order[a]]): pack(cls=cls[order[a:b]], s=s[order[a:b]], e=e[order[a:b]])
+            for a, b in zip(start, np.append(start[1:], len(order)))}
+
+
 def _within(s: np.ndarray, e: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Intervals cut at the ends of texts (touching runs of two texts may have been united)."""
     if len(s) == 0:

@@ -30,3 +30,31 @@ def test_documents_of_one_class():
     batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([HOT] * n)], names=["doc_id", "text"])
     got = used(_incidence_pass(BLOCKS, NGRAM)([batch]), "docs")
     assert len(got) == BLOCKS and max(got.values()) < 0.2 * sum(got.values())
+
+
+def test_settled_windows():
+    """Intervals that a shard settles are dealt by class, not to one block."""
+    import numpy as np
+    from tablecraft.llm.exchange import unpack
+    from tablecraft.llm.suffix import _by_class
+    rng = np.random.default_rng(1)
+    cls = rng.integers(-1 << 62, 1 << 62, 400)
+    got = _by_class(BLOCKS, cls, np.arange(400), np.arange(400) + 500)
+    assert len(got) == BLOCKS and max(map(len, got.values())) < 0.2 * sum(map(len, got.values()))
+    back = sorted((int(c), int(s), int(e)) for raw in got.values() for c, s, e in zip(*unpack(raw, ["<i8", "<i8", "<i8"])))
+    assert back == sorted((int(c), k, k + 500) for k, c in enumerate(cls))
+    assert _by_class(BLOCKS, cls[:0], cls[:0], cls[:0]) == {}
+
+
+def test_anchors_do_not_depend_on_the_slice(monkeypatch):
+    """Equal windows choose equal anchors in small and large slices, even where the upper bits of all hashes tie."""
+    import numpy as np
+    from tablecraft.llm import suffix
+    plain = suffix.window_hash
+    monkeypatch.setattr(suffix, "window_hash", lambda data, length: plain(data, length) >> np.uint64(40))
+    rng = np.random.default_rng(2)
+    passage, filler = rng.integers(97, 123, 3000).astype(np.uint8), rng.integers(97, 123, 1 << 20).astype(np.uint8)
+    q, h = suffix.anchors(passage, np.array([0, 3000]), 400, 64)
+    q2, h2 = suffix.anchors(np.concatenate([filler, passage]), np.array([0, 1 << 20, (1 << 20) + 3000]), 400, 64)
+    own = q2 >= 1 << 20
+    assert len(q) > 5 and (q2[own] - (1 << 20)).tolist() == q.tolist() and h2[own].tolist() == h.tolist()
