@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
+ZSTD = pa.Codec("zstd")
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts (one pass over the column)."""
     return docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
@@ -55,6 +58,19 @@ def first_of(sorted_keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def byte_planes(*columns: np.ndarray) -> bytes:
+    """Columns of one length byte by byte, compressed: bytes that vary little become small."""
+    return ZSTD.compress(b"".join(c.view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in map(np.ascontiguousarray, columns)), asbytes=True)
+
+
+def from_planes(raw: bytes, n: int, dtypes: list[str]) -> list[np.ndarray]:
+    """The ``n`` rows of the columns again."""
+    width = [np.dtype(d).itemsize for d in dtypes]
+    planes = np.frombuffer(ZSTD.decompress(raw, n * sum(width)), np.uint8).reshape(sum(width), n)
+    ends = np.cumsum(width)
+    return [np.ascontiguousarray(planes[e - w:e].T).view(d).ravel() for w, e, d in zip(width, ends, dtypes)]
+
+
 class Forest:
     """Union-find over 0..n-1 with the smallest member as root."""
 

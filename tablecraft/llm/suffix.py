@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .exchange import block_of, first_of, n_blocks, pack, text_bytes, unpack
+from .exchange import block_of, byte_planes, first_of, from_planes, n_blocks, pack, text_bytes, unpack
 from .textops import mix, run_starts, text_slices
 
 LENGTH = 400
@@ -45,31 +45,38 @@ GRAM = 64
 SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 24 << 20
 PLACE_BITS = np.uint64(32)         # of a slice's places; a slice is 1 or 2 MiB, or one longer text
-_T = np.random.default_rng(99).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-# one factor per doubling, all 3 modulo 4: differences of equal strings keep their high bits
-_A = (np.random.default_rng(98).integers(0, 1 << 61, 16, dtype=np.uint64) << np.uint64(2)) | np.uint64(3)
 
 
-def doubled(data: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
+def _family(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a hash family a value per byte, and one factor per doubling, all 3 modulo 4: differences of equal strings keep their high bits."""
+    return (np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1),
+            (np.random.default_rng(seed - 1).integers(0, 1 << 61, 16, dtype=np.uint64) << np.uint64(2)) | np.uint64(3))
+
+
+_FAMILIES = (_family(99), _family(97))
+
+
+def doubled(data: np.ndarray, sizes: list[int], family: int = 0) -> dict[int, np.ndarray]:
     """Hashes of all substrings of the given power-of-two sizes (entry i starts at i)."""
-    h, out, size = _T[data], {}, 1
+    value, factor = _FAMILIES[family]
+    h, out, size = value[data], {}, 1
     for k in range(max(sizes).bit_length()):
         if size in sizes:
             out[size] = h
         if size >= max(sizes) or len(h) <= size:
             break
-        h = h[:-size] * _A[k] + h[size:]
+        h = h[:-size] * factor[k] + h[size:]
         size *= 2
     return out
 
 
-def window_hash(data: np.ndarray, length: int) -> np.ndarray:
+def window_hash(data: np.ndarray, length: int, family: int = 0) -> np.ndarray:
     """Hash of every ``length``-byte window."""
     n = len(data) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     sizes = [1 << b for b in range(length.bit_length()) if length >> b & 1]
-    part, at, out = doubled(data, sizes), 0, np.zeros(n, np.uint64)
+    part, at, out = doubled(data, sizes, family), 0, np.zeros(n, np.uint64)
     for k, s in enumerate(reversed(sizes)):
         out = mix(out + part[s][at:at + n]) if k else mix(part[s][:n].copy())
         at += s
@@ -326,15 +333,35 @@ def _shard_pass(blocks: int, length: int, gram: int):
             order = np.argsort(fp[p])
             p, known = p[order], known[order]
             d = np.searchsorted(offs, p, "right") - 1
-            rel = np.where(known, _NOWHERE, p - offs[d]).astype(np.uint32)
-            ids, out = _blocked(blocks, fp[p], d, cls, rel=rel)
-            sent = dict(zip(ids, out))
+            place = np.where(known, _NOWHERE, p).astype("<u4")
+            sent = _windows(blocks, fp[p], (window_hash(data, length, 1)[p] >> np.uint64(32)).astype("<u4"), place, d, cls, offs)
             keys = sorted({*sent, *done})
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([sent.get(k) for k in keys], pa.binary()),
                                               pa.array([done.get(k) for k in keys], pa.binary())], names=_MATCH.names)
     return run
 
 
+def _windows(blocks: int, h: np.ndarray, check: np.ndarray, place: np.ndarray, row: np.ndarray, cls: np.ndarray, offs: np.ndarray) -> dict[int, bytes]:
+    """Of a shard's windows, sorted by hash, those of each block: its texts with their starts in the shard, the
+    gaps of the hashes, the second hashes and the places."""
+    at = block_of(h, blocks)
+    start = run_starts(at)
+    out = {}
+    for a, b in zip(start, np.append(start[1:], len(at))):
+        rows = np.unique(row[a:b])
+        body = byte_planes(np.diff(h[a:b], prepend=np.uint64(0)), check[a:b], place[a:b])
+        out[int(at[a])] = pack(size=np.array([b - a]), cls=cls[rows], base=offs[rows], body=np.frombuffer(body, np.uint8))
+    return out
+
+
+def _received(raw: bytes):
+    """(class, start in its text, hash, second hash, whether the place counts) of a shard's windows."""
+    size, cls, base, body = unpack(raw, ["<i8", "<i8", "<i8", "u1"])
+    gaps, check, place = from_planes(body.tobytes(), int(size[0]), ["<u8", "<u4", "<u4"])
+    k = np.searchsorted(base, place.astype(np.int64), "right") - 1
+    return cls[k], place - base[k], np.cumsum(gaps, dtype=np.uint64), check, place != _NOWHERE
+
+
 def _by_class(blocks: int, cls: np.ndarray, s: np.ndarray, e: np.ndarray) -> dict[int, bytes]:
     """The intervals of each block that a class is dealt to."""
     at = block_of(mix(cls.view(np.uint64)), blocks)
@@ -382,24 +409,34 @@ def merge_runs(runs: list[np.ndarray]) -> np.ndarray:
     return level[0][0][level[0][1]] if level else np.zeros(0, np.uint64)
 
 
+def _meeting(got: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """(class, start) of the windows that two or more shards hold, by both hashes (96 bits)."""
+    shared = merge_runs([np.unique(g[2]) for g in got])
+    if not len(shared):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hits = [shared[np.minimum(np.searchsorted(shared, g[2]), len(shared) - 1)] == g[2] for g in got]
+    shard = np.repeat(np.arange(len(got)), [int(x.sum()) for x in hits])
+    cls, s, h, check, counts = (np.concatenate([g[k][x] for g, x in zip(got, hits)]) for k in range(5))
+    order = np.lexsort((shard, check, h))
+    cls, s, h, check, counts, shard = (x[order] for x in (cls, s, h, check, counts, shard))
+    new = first_of(h) | first_of(check)
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(h)))
+    keep = np.repeat(shard[start] != shard[start + size - 1], size) & counts
+    return cls[keep], s[keep].astype(np.int64)
+
+
 def _merge(length: int):
     def run(key, table):
-        got = [unpack(raw, ["<i8", "<i4", "<u8", "<u4"]) for raw in table.column("payload").to_pylist() if raw is not None]
-        shared = merge_runs([np.unique(g[2]) for g in got])
-        cls, s, e = [], [], []
-        for c, k, h, rel in got:
-            at = np.minimum(np.searchsorted(shared, h), max(0, len(shared) - 1))
-            hit = (shared[at] == h if len(shared) else np.zeros(len(h), bool)) & (rel != _NOWHERE)
-            cls.append(c[k[hit]])
-            s.append(rel[hit].astype(np.int64))
-            e.append(rel[hit].astype(np.int64) + length)
+        c, a = _meeting([_received(raw) for raw in table.column("payload").to_pylist() if raw is not None])
+        cls, s, e = [c], [a], [a + length]
         for raw in table.column("done").to_pylist():
             if raw is not None:
                 c, a, b = unpack(raw, ["<i8", "<i8", "<i8"])
                 cls.append(c)
                 s.append(a)
                 e.append(b)
-        cls, s, e = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (cls, s, e))
+        cls, s, e = (np.concatenate(x) for x in (cls, s, e))
         order = np.argsort(cls, kind="stable")
         cls, s, e = cls[order], s[order], e[order]
         start = run_starts(cls)

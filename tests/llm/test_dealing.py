@@ -58,3 +58,21 @@ def test_anchors_do_not_depend_on_the_slice(monkeypatch):
     q2, h2 = suffix.anchors(np.concatenate([filler, passage]), np.array([0, 1 << 20, (1 << 20) + 3000]), 400, 64)
     own = q2 >= 1 << 20
     assert len(q) > 5 and (q2[own] - (1 << 20)).tolist() == q.tolist() and h2[own].tolist() == h.tolist()
+
+
+def test_windows_meet_by_both_hashes():
+    """A window that shares only its first hash with another shard's is no repeat; known ones count as partners without a place."""
+    import numpy as np
+    from tablecraft.llm.suffix import _NOWHERE, _meeting, _received, _windows
+    offs, cls = np.array([0, 1000, 3000, 3000]), np.array([-5, 7, 9])
+
+    def shard(h, check, place):
+        h, place = np.array(h, np.uint64), np.array(place, "<u4")
+        row = np.where(place == _NOWHERE, 0, np.searchsorted(offs, place, "right") - 1)
+        return [_received(raw) for raw in _windows(1, h, np.array(check, "<u4"), place, row, cls, offs).values()][0]
+
+    one = shard([3, 3, 8, 2**63], [1, 2, 5, 6], [10, 20, 1500, _NOWHERE])
+    two = shard([3, 8, 2**63], [2, 4, 6], [999, 30, 2000])
+    c, s = _meeting([one, two])
+    assert sorted(zip(c.tolist(), s.tolist())) == [(-5, 20), (-5, 999), (7, 1000)]
+    assert [x.tolist() for x in _meeting([one])] == [[], []] and [x.tolist() for x in _meeting([])] == [[], []]
