@@ -9,6 +9,9 @@ number follows the bytes of the input.
 
 from __future__ import annotations
 
+import gc
+import time
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,6 +74,18 @@ def from_planes(raw: bytes, n: int, dtypes: list[str]) -> list[np.ndarray]:
     return [np.ascontiguousarray(planes[e - w:e].T).view(d).ravel() for w, e, d in zip(width, ends, dtypes)]
 
 
+def release_shuffles(spark) -> None:
+    """Prompts the removal of shuffle files that only plans replaced by a checkpoint refer to.
+
+    Spark's cleaner drops them when the driver's JVM has collected their handles; left alone it does
+    so whenever its heap happens to fill, and the files of all earlier stages stay on the disks.
+    Python's side hands its dropped references over once a second, so the call waits for that first.
+    """
+    gc.collect()
+    time.sleep(2)
+    spark.sparkContext._jvm.System.gc()
+
+
 class Forest:
     """Union-find over 0..n-1 with the smallest member as root."""
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .exchange import block_of, byte_planes, first_of, from_planes, n_blocks, pack, text_bytes, unpack
+from .exchange import block_of, byte_planes, first_of, from_planes, n_blocks, pack, release_shuffles, text_bytes, unpack
 from .textops import mix, run_starts, text_slices
 
 LENGTH = 400
@@ -488,6 +488,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     found = cut_lineage(found)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = min(tasks, n_blocks(text_bytes(found), SHARD_BYTES))
+    release_shuffles(docs.sparkSession)
     lined = found.repartitionByRange(shards, "low", "cls").sortWithinPartitions("low", "cls")
     parts = lined.select("cls", "text", "parts").mapInArrow(_shard_pass(blocks, length, gram), _MATCH) \
         .groupBy("block").applyInArrow(_merge(length), "cls long, part binary").groupBy("cls").agg(F.collect_list("part").alias("parts"))
