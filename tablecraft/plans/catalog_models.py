@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import prob_clip
-from ..operators import linear, stats, trees
+from ..operators import linear, sparse, stats, trees
 from ..operators.boosting import Boosting, fit_boosting
 from ..operators.dictionary import category_codes, with_codes
 from ..operators.encoding import route_columns
@@ -22,7 +22,7 @@ from ..sources.bookings import with_bookings
 from ..session import cut_lineage
 from . import pipelines as P
 from . import stacking as S
-from .common import BOOKING_NUMERIC, BOOKING_STRING, LABELED_CTE, labeled, reuse, r6
+from .common import BOOKING_NUMERIC, BOOKING_STRING, LABELED_CTE, SPLIT_CTE, labeled, reuse, r6, with_split
 from .registry import register
 
 CLASSES = (0, 1, 2)
@@ -96,6 +96,45 @@ def score_linear(spark, sf):
     return out.select("row_id", "prediction", *[F.col("decision")[j].alias(f"d{j}") for j in range(3)])
 
 
+# --------------------------------------------------------------------------
+# sparse assembly and the Hessian-free fit
+# --------------------------------------------------------------------------
+
+def _assemble_sql() -> str:
+    words = " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS col, {c} AS value FROM split WHERE is_train AND {c} IS NOT NULL" for c in BOOKING_STRING)
+    dic = f"dic AS (SELECT col, value, row_number() OVER (PARTITION BY col ORDER BY md5(value)) - 1 AS code FROM ({words}))"
+    parts = [f"SELECT row_id, CAST({k} AS BIGINT) AS slot, round(CAST({c} AS DOUBLE), 6) AS value FROM split WHERE {c} <> 0"
+             for k, c in enumerate(BOOKING_NUMERIC)]
+    for k, c in enumerate(BOOKING_STRING):
+        before = ", ".join(f"'{x}'" for x in BOOKING_STRING[:k]) or "''"
+        parts.append(f"SELECT row_id, CAST({len(BOOKING_NUMERIC)} + (SELECT count(*) FROM dic WHERE col IN ({before})) + code AS BIGINT) AS slot, "
+                     f"CAST(1 AS DOUBLE) AS value FROM split JOIN dic ON col = '{c}' AND dic.value = split.{c}")
+    return with_bookings(LABELED_CTE, SPLIT_CTE, dic) + " UNION ALL ".join(parts)
+
+
+@register("tx_assemble", _assemble_sql(), "2.7")
+def tx_assemble(spark, sf):
+    """Sparse rows of all numeric and category columns, one line per entry; the dictionary is that of the training part."""
+    df = reuse(with_split(labeled(spark, sf)))
+    rows, _ = sparse.assemble_sparse(df, ["row_id"], BOOKING_NUMERIC, *category_codes(df.where("is_train"), BOOKING_STRING))
+    entry = F.explode(F.arrays_zip("indices", "values")).alias("e")
+    return rows.select("row_id", entry).select("row_id", F.col("e.indices").alias("slot"), F.round("e.values", 6).alias("value"))
+
+
+@register("fit_svm_sparse", None, "2.8")
+def fit_svm_sparse(spark, sf):
+    """Truncated Newton on sparse rows (scaled numbers, all categories), balanced class weights; test predictions."""
+    tr, te = train_test(spark, sf)
+    scale = Scaler(False, BOOKING_NUMERIC).fit(tr)
+    codes, sizes = category_codes(tr, BOOKING_STRING)
+    rows, width = sparse.assemble_sparse(scale.apply(tr), ["row_id", "label"], BOOKING_NUMERIC, codes, sizes)
+    rows = reuse(rows)
+    model = sparse.fit_sqhinge_sparse(rows, width, CLASSES, 1.0, linear.balanced_class_weights(rows, "label", CLASSES))
+    rows.unpersist()
+    test, _ = sparse.assemble_sparse(scale.apply(te), ["row_id"], BOOKING_NUMERIC, codes, sizes)
+    return sparse.score_sparse(test, model).withColumn("converged", F.lit(model.converged))
+
+
 # --------------------------------------------------------------------------
 # the SVM compositions (load + predict), rows-only checks
 # --------------------------------------------------------------------------
