@@ -6,8 +6,8 @@
 * exponentially weighted average (EWA): ``w_k ∝ exp(-eta * L_k)`` with
   ``L_k`` the cumulative log-loss of expert ``k``; the final weights need only
   ``groupBy(expert).sum(loss)``.  The weight trajectory uses a running sum per
-  expert computed in two levels (time buckets, then within bucket) so no task
-  holds a whole expert's history.
+  expert computed by levels (time buckets, buckets of buckets, ..., then within
+  a bucket) so no task holds a whole expert's history or its offsets.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import PROB_EPS
+from ..session import cut_lineage
 from .joins import join_small
 
 
@@ -63,21 +64,30 @@ def ewa_weights(losses: DataFrame, eta: float = 0.5) -> DataFrame:
     return e.select("expert", "cum_loss", (F.col("_u") / F.sum("_u").over(w)).alias("weight"))
 
 
+OFFSETS = 100_000          # bucket totals of one part that a single window may run over
+
+
 def running_sum(df: DataFrame, part: Sequence[str], order: str, value: str, out: str,
-                bucket_width: int) -> DataFrame:
-    """Inclusive running sum of ``value`` ordered by the integer ``order``
-    within ``part``, two-level: per-bucket totals -> prefix offsets (small
-    table, broadcast) -> running sum within (part, bucket)."""
+                bucket_width: int, offsets: int = OFFSETS, inclusive: bool = True) -> DataFrame:
+    """Running sum of ``value`` ordered by the integer ``order`` within ``part``: totals per bucket, their exclusive
+    prefix, and a running sum within (part, bucket).  While a part has more than ``offsets`` buckets the prefix is
+    itself found this way, one level up, so no task holds a part's offsets."""
     part = list(part)
-    b = df.withColumn("_b", F.floor(F.col(order) / bucket_width))
-    tot = b.groupBy(*part, "_b").agg(F.sum(value).alias("_bt"))
-    wo = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(*part, "_b", F.coalesce(F.sum("_bt").over(wo), F.lit(0.0)).alias("_off"))
-    # offsets: one row per (part, bucket) = rows / bucket_width: counted, then
-    # broadcast or shuffled accordingly
-    j = join_small(b, offs, [*part, "_b"], how="inner", state_rows=None)
-    wi = Window.partitionBy(*part, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return j.withColumn(out, F.col("_off") + F.sum(value).over(wi)).drop("_b", "_off")
+    start = F.col(order) - F.pmod(F.col(order), F.lit(bucket_width))
+    b = df.withColumn("_b", start)
+    tot = cut_lineage(b.groupBy(*part, "_b").agg(F.sum(value).alias("_bt")))
+    n = tot.groupBy(*part).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if (n[0] or 0) <= offsets:
+        wo = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        offs = tot.withColumn("_off", F.coalesce(F.sum("_bt").over(wo), F.lit(0.0)))
+    else:
+        up = tot.withColumnRenamed("_b", "_at")
+        offs = running_sum(up, part, "_at", "_bt", "_before", bucket_width * offsets, offsets, inclusive=False) \
+            .withColumnsRenamed({"_at": "_b", "_before": "_off"})
+    j = join_small(b, offs.select(*part, "_b", "_off"), [*part, "_b"], how="inner", state_rows=n[1] or 0)
+    last = Window.currentRow if inclusive else -1
+    wi = Window.partitionBy(*part, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, last)
+    return j.withColumn(out, F.col("_off") + F.coalesce(F.sum(value).over(wi), F.lit(0.0))).drop("_b", "_off")
 
 
 def ewa_trajectory(losses: DataFrame, order: str = "t", eta: float = 0.5,
