@@ -120,3 +120,46 @@ def test_selection_keeps_every_trial(spark):
     m = P.fit_classifier(fp.features(tr), fp.n_features, cands[4].clf)
     from tablecraft.operators.metrics import f1_weighted
     assert abs(f1_weighted(m.transform(fp.features(va))) - together[4].f1) < 1e-9
+
+
+def test_l1_direction_is_the_minimum_on_dependent_columns():
+    """A column far from zero, the categories of a column and the bias depend on each other: coordinate descent creeps there."""
+    rng = np.random.default_rng(6)
+    n = 2000
+    X = np.column_stack([1000 + rng.normal(size=n), rng.normal(size=n), np.eye(5)[rng.integers(0, 5, n)], np.ones(n)])
+    y = np.where(X[:, 1] + rng.normal(size=n) > 0, 1.0, -1.0)
+    H, g, w = 2 * X.T @ X, -2 * X.T @ y, np.zeros(X.shape[1])
+    u = w + linear._l1_newton_direction(w, g, H, 200)
+    r = g + H @ (u - w)
+    off = np.where(u != 0, np.abs(r + np.sign(u)), np.maximum(0, np.abs(r) - 1))
+    assert off.max() < 1e-3
+
+
+def test_blocks_hold_zeros_and_ones_as_bits(spark):
+    from pyspark.sql import functions as F
+    df, X, y = _data(spark, 50)
+    wide = df.select("label", F.concat("features", *[F.array((F.col("row_id") % k == 0).cast("double")) for k in range(1, 21)]).alias("features"), F.lit(2.0).alias("w"))
+    blocks = linear.packed(wide, "features", "label", "w").collect()
+    assert sum(b.n for b in blocks) == 50 and all(b.bits.shape[1] == 3 and b.rest.shape[1] == 4 for b in blocks)
+    x = np.vstack([b.x() for b in blocks])
+    assert np.array_equal(x[:, :4], X) and np.array_equal(x[:, 4:24].sum(axis=0), [len(range(0, 50, k)) for k in range(1, 21)]) and (x[:, 24] == 1).all()
+
+
+def test_hessian_of_moved_rows_equals_the_direct_one(spark):
+    """Only rows that enter or leave the margin change the Hessian; with row weights too."""
+    df, X, y = _data(spark, 400, 8)
+    df = df.withColumn("w", (df.row_id % 3 + 1).cast("double")).repartition(3)
+    sw, Xb = np.arange(400) % 3 + 1.0, np.hstack([X, np.ones((400, 1))])
+    costs = np.stack([linear.class_costs([0, 1, 2], c, [1.0, 2.0, 0.5]) for c in (0.5, 2.0)])
+    p = linear._Passes(df, np.arange(3), costs, 5, "features", "label", "w")
+    zero, todo = np.zeros((2, 3, 5)), np.array([(0, 0), (1, 2)])
+    W = np.random.default_rng(9).normal(size=zero.shape)
+    f, g, H = p.at(W, zero, p.at_zero()[2], todo)
+    for t, (q, j) in enumerate(todo):
+        yy = np.where(y == j, 1.0, -1.0)
+        ci, v = costs[q, j][y] * sw, np.maximum(0, 1 - yy * (Xb @ W[q, j]))
+        a = v > 0
+        assert np.isclose(f[t], ci @ v ** 2) and np.allclose(g[t], -2 * (ci * v * yy) @ Xb)
+        assert np.allclose(H[t], 2 * (Xb[a] * ci[a][:, None]).T @ Xb[a])
+    assert np.allclose(p.values(W[tuple(todo.T)][:, None, :], todo)[:, 0], f)
+    p.release()
