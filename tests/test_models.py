@@ -163,3 +163,16 @@ def test_hessian_of_moved_rows_equals_the_direct_one(spark):
         assert np.allclose(H[t], 2 * (Xb[a] * ci[a][:, None]).T @ Xb[a])
     assert np.allclose(p.values(W[tuple(todo.T)][:, None, :], todo)[:, 0], f)
     p.release()
+
+
+def test_random_features_of_batches(spark):
+    """Batches of any size, without rows and without inputs, give one array per row."""
+    from tablecraft.operators.rff import RandomFourierFeatures
+    df, X, _ = _data(spark, 60, 7)
+    r = RandomFourierFeatures(4, 8, 0.5)
+    got = {v.row_id: v.z for v in r.transform(df.repartition(3), "features", "z").collect()}
+    assert np.allclose([got[i] for i in range(60)], r.scale * np.cos(X @ r.W + r.b))
+    assert r.transform(df.filter("row_id < 0"), "features", "z").count() == 0
+    none = RandomFourierFeatures(0, 3, 0.5)
+    flat = none.transform(df.selectExpr("array() as v").selectExpr("cast(v as array<double>) as v"), "v", "z").collect()
+    assert len(flat) == 60 and np.allclose(flat[0].z, none.scale * np.cos(none.b))
