@@ -176,3 +176,51 @@ def test_random_features_of_batches(spark):
     none = RandomFourierFeatures(0, 3, 0.5)
     flat = none.transform(df.selectExpr("array() as v").selectExpr("cast(v as array<double>) as v"), "v", "z").collect()
     assert len(flat) == 60 and np.allclose(flat[0].z, none.scale * np.cos(none.b))
+
+
+def _bookings(spark, n=300):
+    rng = np.random.default_rng(11)
+    rows = [(i, int(rng.integers(0, 3)), float(np.exp(rng.normal() * 2)), None if i % 7 == 0 else float(rng.integers(0, 9)), float(rng.normal()), None,
+             "abc"[int(rng.integers(0, 3))] if i % 5 else None) for i in range(n)]
+    return spark.createDataFrame(rows, "row_id long, label int, a double, b double, c double, d double, e string")
+
+
+def test_preparations_fitted_together_measure_once(spark, monkeypatch):
+    """Preparations of one grid take one profile and one search for quantiles, and equal the stages fitted one after the other."""
+    from tablecraft.operators import stats
+    from tablecraft.operators.transforms import ImputeMedian, Scaler, SkewClipLog
+    from tablecraft.plans import pipelines as P
+    df = _bookings(spark).persist()
+    calls = {"column_profile": 0, "category_counts": 0, "quantile_neighbours": 0}
+    for name in calls:
+        def counted(*args, _of=getattr(stats, name), _name=name, **kw):
+            calls[_name] += 1
+            return _of(*args, **kw)
+        monkeypatch.setattr(stats, name, counted)
+    preps = [P.Prep(skew=(lo, 100 - lo, t), min_frequency=m) for lo in (1.0, 5.0) for t in (0.5, 50.0) for m in (None, 10)] + [P.Prep()]
+    fitted = P.fit_preps(df, preps)
+    assert calls == {"column_profile": 1, "category_counts": 3, "quantile_neighbours": 1}      # a mode, two vocabularies
+    for p, f in zip(preps, fitted):
+        x, counts = df, None
+        if p.skew:
+            state = SkewClipLog(*p.skew, columns=["a", "b", "c", "d"]).fit(df)
+            x, counts = state.apply(x), state.counts
+            assert f.steps[0].rules == state.rules
+        fill = ImputeMedian(["a", "b", "c", "d"], counts=counts).fit(x)
+        scale = Scaler(False, ["a", "b", "c"]).fit(fill.apply(x))
+        got_fill, got_scale = f.steps[-3:-1]
+        assert got_fill.fill == fill.fill and got_fill.dropped == ["d"] and f.num_cols == ["a", "b", "c"]
+        assert all(np.allclose(got_scale.params[c], scale.params[c], rtol=1e-12) for c in scale.params)
+        assert f.n_features == 6 and all(len(r.features) == 6 for r in f.features(df).take(5))
+        f.release()
+    df.unpersist()
+
+
+def test_second_phase_uses_the_same_split(spark, monkeypatch):
+    from tablecraft.plans import pipelines as P
+    splits = []
+    real = P.stratified_split
+    monkeypatch.setattr(P, "stratified_split", lambda *a, **k: splits.append(1) or real(*a, **k))
+    monkeypatch.setattr(P, "grid", lambda name: [P.Candidate(P.Prep(), P.Clf(C=c)) for c in (0.5, 1.0)])
+    best, phases = P.select_model("E14", _bookings(spark))
+    assert [n for n, _ in phases] == ["A", "B"] and len(phases[1][1]) == 6 and len(splits) == 1
