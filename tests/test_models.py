@@ -1,6 +1,7 @@
 """Model fits: objective decreases, gradient equals brute force, skill on a
 derived learnable label."""
 import numpy as np
+from pyspark.sql import functions as F
 
 from tablecraft.operators import linear
 
@@ -224,3 +225,54 @@ def test_second_phase_uses_the_same_split(spark, monkeypatch):
     monkeypatch.setattr(P, "grid", lambda name: [P.Candidate(P.Prep(), P.Clf(C=c)) for c in (0.5, 1.0)])
     best, phases = P.select_model("E14", _bookings(spark))
     assert [n for n, _ in phases] == ["A", "B"] and len(phases[1][1]) == 6 and len(splits) == 1
+
+
+def _orders(spark, n=600):
+    """Booking-like rows with two categories, a number with gaps and a binary column."""
+    return spark.range(n).select(F.col("id").alias("row_id"), (F.col("id") % 3).cast("int").alias("label"), F.concat(F.lit("c"), (F.col("id") * 7 % 11).cast("string")).alias("country"),
+                                 F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("deposit"), F.when(F.col("id") % 5 > 0, (F.col("id") % 13).cast("double")).alias("adr"))
+
+
+def test_kept_frames_have_tasks_by_rows_not_by_shuffle_partitions(spark):
+    from tablecraft.operators.sampling import in_tasks, stratified_split
+    from tablecraft.operators.transforms import OneHot, TargetEncoder
+    cores = spark.sparkContext.defaultParallelism
+    rows = _orders(spark)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(9 * cores))
+    try:
+        split = stratified_split(rows, "label", 20, 42, n_rows=600)
+        few = in_tasks(split, 600).persist()
+        assert sorted(map(tuple, few.collect()), key=str) == sorted(map(tuple, split.collect()), key=str)
+        assert few.rdd.getNumPartitions() <= cores
+        assert in_tasks(spark.range(0, 100, 1, 7 * cores), 50_000 * 5 * cores).rdd.getNumPartitions() == 5 * cores
+        te, oh = TargetEncoder(["country"], "label").fit(rows), OneHot(columns=["deposit"], drop_first=True).fit(rows)
+        assert te.table.rdd.getNumPartitions() <= cores and oh.codes.rdd.getNumPartitions() <= cores
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_notebook_features_keep_the_encoded_training_rows(spark):
+    """No statistic joins the encodings again; kept and encoded anew, the features are equal."""
+    from tablecraft.plans.catalog_models import NBFeatures
+    rows = _orders(spark).persist()
+    fe = NBFeatures(rows, ["country"], ["deposit"])
+    assert fe.encoded.storageLevel.useMemory
+    kept, anew = fe.apply(rows), fe.apply(rows.select("*"))
+    assert sorted(kept.collect()) == sorted(anew.collect()) and kept.count() == 600
+
+
+def test_hinge_fits_read_a_short_plan(spark, monkeypatch):
+    from pyspark.ml.classification import LinearSVC
+    from tablecraft.plans import pipelines as P
+    seen, fit = [], LinearSVC.fit
+
+    def spied(self, df, params=None):
+        seen.append(len(df._jdf.queryExecution().optimizedPlan().toString()))
+        return fit(self, df)
+    monkeypatch.setattr(LinearSVC, "fit", spied)
+    rows = _orders(spark).persist()
+    wide = rows.select("row_id", "label", F.array(*[F.coalesce((F.col("country") == f"c{i % 11}").cast("double") * (i + 1), F.lit(0.0)) for i in range(60)]).alias("features"))
+    model = P.fit_classifier(wide, 60, P.Clf(loss="hinge"))
+    assert len(seen) == 3 and max(seen) < 1000
+    assert model.transform(wide).select("prediction").where("prediction is null").count() == 0
