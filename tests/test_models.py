@@ -276,3 +276,30 @@ def test_hinge_fits_read_a_short_plan(spark, monkeypatch):
     model = P.fit_classifier(wide, 60, P.Clf(loss="hinge"))
     assert len(seen) == 3 and max(seen) < 1000
     assert model.transform(wide).select("prediction").where("prediction is null").count() == 0
+
+
+def test_driver_gets_large_sums_once(spark, monkeypatch):
+    """Partial sums of many or large arrays are added up by tasks, in the order of their partitions."""
+    from pyspark import RDD
+    blocks, got, collect = spark.sparkContext.parallelize(range(12), 12), [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda self: got.append(collect(self)) or got[-1])
+    size = 400_000
+    total = linear._block_sum(blocks, lambda b: np.full(size, 0.1 * b), size)
+    want = 0.0
+    for b in range(12):
+        want = want + 0.1 * b
+    assert (total == want).all() and total.shape == (size,)
+    received = sum(v[1].nbytes if isinstance(v, tuple) else v.nbytes for rows in got for v in rows)
+    assert received == 8 * size
+    many = spark.sparkContext.parallelize(range(80), 80)
+    assert linear._block_sum(many, lambda b: np.array([1.0, b]), 2).tolist() == [80.0, 3160.0]
+    assert linear._block_sum(spark.sparkContext.parallelize([], 80), lambda b: np.ones(2), 2) is None
+
+
+def test_blocks_of_wide_rows_are_small(spark):
+    from pyspark.sql import functions as F
+    wide = spark.range(3000, numPartitions=2).select((F.col("id") % 3).alias("label"), F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda k: F.col("id") / k).alias("features"))
+    blocks = linear.packed(wide, "features", "label", None).collect()
+    assert sum(b.n for b in blocks) == 3000 and max(b.rest.nbytes for b in blocks) <= 8 << 20
+    x = np.vstack([b.x() for b in blocks])
+    assert x.shape == (3000, 1001) and np.array_equal(np.sort(x[:, 0]), np.arange(3000.0)) and np.allclose(x[:, 9] * 10, x[:, 0])
