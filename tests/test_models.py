@@ -303,3 +303,12 @@ def test_blocks_of_wide_rows_are_small(spark):
     assert sum(b.n for b in blocks) == 3000 and max(b.rest.nbytes for b in blocks) <= 8 << 20
     x = np.vstack([b.x() for b in blocks])
     assert x.shape == (3000, 1001) and np.array_equal(np.sort(x[:, 0]), np.arange(3000.0)) and np.allclose(x[:, 9] * 10, x[:, 0])
+
+
+def test_forests_read_their_rows_in_few_tasks(spark, monkeypatch):
+    from tablecraft.operators import trees
+    rows = spark.range(400).repartition(40)
+    assert trees.few_tasks(rows, 400).rdd.getNumPartitions() == 40
+    monkeypatch.setattr(trees, "TASK_ROWS", 50)
+    few = trees.few_tasks(rows, 400)
+    assert few.rdd.getNumPartitions() == 8 and few.count() == 400
